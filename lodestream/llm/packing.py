@@ -42,7 +42,7 @@ GAP = 256
 BUFFER = 1 << 18
 SENTENCE_CUT = 8.0  # cost, in tokens of padding, of a cut inside a document
 FORCED_CUT = 32.0  # of a cut inside a sentence
-CACHE = 400_000  # words whose ids a worker remembers
+CACHE = 1_200_000  # words whose ids a worker remembers
 
 _MARK = regex.compile(r"\p{M}")
 
@@ -58,8 +58,10 @@ class WordTokenizer:
 
     The vocabulary drops white space and splits there, so a text's ids are those of its words
     one after the other; the ids of a word do not depend on its neighbours, and A-Z count as
-    lower case. A full stop or comma that follows a letter is a token of its own. Texts with
-    combining marks (whose composition may depend on case) are encoded as they are.
+    lower case. A full stop or comma that follows a letter is a token of its own. New words of
+    letters alone are encoded many at a time: each ends with exactly one end-of-word token,
+    which tells them apart. Texts with combining marks (whose composition may depend on case)
+    are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -67,26 +69,51 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.cache: dict[bytes, bytes] = {}  # ids as little-endian unsigned 32-bit numbers
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        self.tails = {b".": tuple(one(".")), b",": tuple(one(","))}
+        self.tails = {x.encode(): np.array(one(x), "<u4").tobytes() for x in (".", ",")}
         self.stops = np.array([i for x in (".", "!", "?") for i in one(x)], np.uint32)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode_each(self, words: list[bytes], texts: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _encode_together(self, words: list[bytes], texts: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            self._encode_each(words, texts)
+            return
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist()):
+            self.cache[w] = data[at:end]
+            at = end
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
-        cores: dict[bytes, list[bytes]] = {}
+        tails, cache = self.tails, self.cache
+        cores, tailed = set(), []
         for w in words:
-            core = w[:-1] if w[-1:] in self.tails and w[:-1].isalpha() else w
-            cores.setdefault(core, []).append(w)
-        fresh = [c for c in cores if c not in self.cache]
-        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in fresh], add_special_tokens=False)
-        for c, e in zip(fresh, coded):
-            self.cache[c] = tuple(e.ids)
-        for core, full in cores.items():
-            for w in full:
-                if w != core:
-                    self.cache[w] = self.cache[core] + self.tails[w[-1:]]
+            if w[-1:] in tails and w[:-1].isalpha():  # ASCII letters, then one mark
+                tailed.append(w)
+                cores.add(w[:-1])
+            else:
+                cores.add(w)
+        letters, other = ([], []), ([], [])
+        for c in cores:
+            if c not in cache:
+                t = c.decode("utf-8", "surrogatepass")
+                to = letters if t.isalpha() else other
+                to[0].append(c)
+                to[1].append(t)
+        for at in range(0, len(letters[0]), 1024):
+            self._encode_together(letters[0][at: at + 1024], letters[1][at: at + 1024])
+        if other[0]:
+            self._encode_each(*other)
+        for w in tailed:
+            cache[w] = cache[w[:-1]] + tails[w[-1:]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split: list[list[bytes] | None] = []
@@ -94,23 +121,19 @@ class WordTokenizer:
             plain = t.isascii() or not _MARK.search(t)
             # a special token's own text is case sensitive and must stay as it is
             split.append(t.encode("utf-8", "surrogatepass").lower().split() if plain and "<|" not in t else None)
+        cache = self.cache
+        new = {w for words in split if words for w in words if w not in cache}
+        if len(cache) + len(new) > CACHE:
+            cache.clear()
+            new = {w for words in split if words for w in words}
+        if new:
+            self._learn(new)
         out = []
         for t, words in zip(texts, split):
             if words is None:
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
-                out.append(np.array(ids, np.uint32))
-                continue
-            try:
-                got = [self.cache[w] for w in words]
-            except KeyError:
-                new = {w for w in words if w not in self.cache}
-                if len(self.cache) + len(new) > CACHE:
-                    self.cache.clear()
-                    new = set(words)
-                self._learn(new)
-                got = [self.cache[w] for w in words]
-            n = sum(map(len, got))
-            out.append(np.fromiter((i for g in got for i in g), np.uint32, n))
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))
+            else:
+                out.append(np.frombuffer(b"".join([cache[w] for w in words]), "<u4"))
         return out
 
 
@@ -269,9 +292,9 @@ def _pack(path: str):
         packer = _Packer(tok.stops, TaskContext.get().partitionId() << 40)
         for b in batches:
             names = b.column(0).to_pylist()
-            for lo in range(0, b.num_rows, 64):
-                texts = [x.as_py() or "" for x in b.column(1)[lo: lo + 64]]
-                for name, ids in zip(names[lo: lo + 64], tok.encode(texts)):
+            for lo in range(0, b.num_rows, 256):
+                texts = [x.as_py() or "" for x in b.column(1)[lo: lo + 256]]
+                for name, ids in zip(names[lo: lo + 256], tok.encode(texts)):
                     packer.add(name, np.append(ids, np.uint32(END)))
             if packer.rows:
                 yield packer.take()
