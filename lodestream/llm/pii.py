@@ -42,7 +42,7 @@ SPAN = "array<struct<k:int,s:int,e:int>>"
 class Bootstrap:
     rounds: int = 3
     min_confidence: float = 0.5
-    min_support: int = 3  # weighted occurrences that must follow a pattern
+    min_support: int = 3  # different instances, by score, that must follow a pattern
     min_digits: int = 4  # of a discovered identifier
 
 
@@ -164,7 +164,7 @@ def learn_patterns(docs: DataFrame, found: DataFrame, how: Bootstrap) -> DataFra
         .groupBy("p", "m").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     )
     edges = cut(edges, "pii-edges")
-    hopeful = edges.groupBy("p").agg(F.sum("n").alias("most")).filter(F.col("most") >= how.min_support)
+    hopeful = edges.groupBy("p").agg(F.sum("n").alias("most"), F.count("*").alias("kinds")).filter(F.col("kinds") >= how.min_support)
     words = (
         docs.select(F.explode(F.split(whole_text(), r"\s+")).alias("w"))
         .select(_normal(F.col("w")).alias("p")).filter("p <> ''")
@@ -180,8 +180,8 @@ def learn_patterns(docs: DataFrame, found: DataFrame, how: Bootstrap) -> DataFra
     for _ in range(how.rounds):
         patterns = cut(
             graph.join(score, "m").groupBy("p").agg(
-                F.sum(F.col("n") * F.col("score")).alias("right"), F.max("total").alias("total"))
-            .filter(F.col("right") >= how.min_support)
+                F.sum(F.col("n") * F.col("score")).alias("right"), F.max("total").alias("total"), F.sum("score").alias("support"))
+            .filter(F.col("support") >= how.min_support)
             .select("p", F.least(F.lit(1.0), F.col("right") / F.col("total")).alias("confidence")),
             "pii-confidence",
         )
