@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, decontaminate, packing, pii, quality_rules, simhash, substrings, toxicity, warc
+from . import classifier, decontaminate, packing, passages, pii, quality_rules, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_simhash": simhash.op7_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_passages": passages.op9_passages,
     "op10_packing": packing.op10_packing,
 }
 
