@@ -1,4 +1,242 @@
-"""Queries of the search engine's operators, and the equivalent SQL."""
+"""Queries of the search engine's operators over the test tables, and the equivalent SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestream.functions.text import content_hash, html_to_text, token_rows, with_snippet
+from lodestream.operators.incremental import classify
+from lodestream.operators.indexing import SearchIndex, index_texts, index_tokens, length_of, meta_of, postings_of, rebuild, terms_of
+from lodestream.operators.links import href_rows, link_rows
+from lodestream.operators.retrieval import find, lookup
+from lodestream.operators.suggest import closest
+from lodestream.plans.query import parse_query
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "text")
+
+
+def _index(spark: SparkSession, sf_dir: str, query: str | None = None) -> SearchIndex:
+    """An index of the documents; for a query, of its terms only."""
+    return index_texts(documents(spark, sf_dir), only=parse_query(query).scoring_terms if query else None)
+
+
+def _found(query: str, **options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = find(_index(spark, sf_dir, query), query, ordered=False, **options)
+        tf = F.array_join(F.transform(F.array_sort(F.map_entries("term_frequencies")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+        return out.select("document_id", "url", tf.alias("term_frequencies"), F.round("relevance_score", 6).alias("score"), "snippet")
+
+    return run
+
+
+def token_positions(spark, sf_dir):
+    return token_rows(documents(spark, sf_dir), ["document_id"]).groupBy("document_id").agg(
+        F.count("*").alias("n_tokens"), F.sum(F.col("pos").cast("long")).alias("sum_pos"), F.count_distinct("term").alias("n_terms"), F.max("pos").cast("long").alias("last_pos"))
+
+
+def _positions_text(p: DataFrame) -> DataFrame:
+    return p.select("term", "document_id", F.col("tf").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+def postings(spark, sf_dir):
+    return _positions_text(postings_of(token_rows(documents(spark, sf_dir), ["document_id"])))
+
+
+def term_stats(spark, sf_dir):
+    # counted by term and document first, so that positions are not gathered for df
+    per = token_rows(documents(spark, sf_dir), ["document_id"]).groupBy("term", "document_id").agg(F.count("*").alias("tf"))
+    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def corpus_stats(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    terms = token_rows(docs, ["document_id"]).agg(F.count_distinct("term").alias("unique_terms"))
+    return meta_of(docs.select(length_of(F.col("text")).alias("length"))).crossJoin(terms)  # one row each
+
+
+def doc_length(spark, sf_dir):
+    return documents(spark, sf_dir).select("document_id", length_of(F.col("text")).cast("long").alias("length"))
+
+
+def raw_token_index(spark, sf_dir):
+    """Tokens split at spaces, positions by place in the list."""
+    docs = documents(spark, sf_dir).withColumn("tokens", F.filter(F.split(F.lower("text"), " "), lambda t: t != ""))
+    return index_tokens(docs).terms
+
+
+def rebuilt_terms(spark, sf_dir):
+    """The index anew from stored texts, and from postings where the text is gone."""
+    full = _index(spark, sf_dir)
+    bare = full.documents.withColumn("text", F.when(F.col("document_id").cast("long") % 2 == 0, F.col("text")).otherwise(""))
+    return rebuild(SearchIndex(bare, full.postings, full.terms, full.meta)).terms
+
+
+SNIPPET_TERMS = ["the", "of"]
+
+
+def snippets(spark, sf_dir):
+    return with_snippet(documents(spark, sf_dir), SNIPPET_TERMS).select("document_id", "snippet")
+
+
+def term_lookup(spark, sf_dir):
+    return lookup(_index(spark, sf_dir, "licensed"), "Licensed!").select(
+        "term", "df", "document_id", "url", F.col("tf").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+MISSPELT = ["thatt", "whichh", "licensd", "zzzzzzzz", "the"]
+
+
+def suggest(spark, sf_dir):
+    terms = token_rows(documents(spark, sf_dir), ["document_id"]).select("term").distinct()
+    return closest(terms, MISSPELT)
+
+
+def page_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
+def page_terms(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), html_to_text(F.col("html")).alias("text"))
+    return terms_of(postings_of(token_rows(pages, ["document_id"])))
+
+
+def page_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", content_hash(F.col("html")).alias("content_hash"))
+
+
+def incremental_status(spark, sf_dir):
+    """The pages as a crawl against an index that lacks those with page_id % 5 = 1 and holds
+    another version of those with page_id % 5 = 0."""
+    pages = _table(spark, sf_dir, "pages")
+    old = pages.filter("page_id % 5 <> 1").select(
+        F.concat(F.lit("doc"), (F.col("page_id") + 1).cast("string")).alias("document_id"), "url",
+        content_hash(F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<p>old</p>"))).otherwise(F.col("html"))).alias("content_hash"))
+    return classify(pages.select("page_id", "url", "html"), old).select("page_id", "document_id", "status")
+
+
+def page_hrefs(spark, sf_dir):
+    return href_rows(_table(spark, sf_dir, "pages")).select("url", F.col("pos").cast("long").alias("pos"), "href")
+
+
+def page_links(spark, sf_dir):
+    return link_rows(_table(spark, sf_dir, "pages"))
+
+
+AND = "the and that"
+QUERIES = {
+    "token_positions": token_positions, "postings": postings, "term_stats": term_stats, "corpus_stats": corpus_stats,
+    "doc_length": doc_length, "raw_token_index": raw_token_index, "rebuilt_terms": rebuilt_terms,
+    "and_tfidf": _found(AND), "and_bm25": _found(AND, ranking_mode="bm25"),
+    "phrase_of_the": _found('"of the"'), "phrase_the_the": _found('"the the"', ranking_mode="bm25"),
+    "term_plus_phrase": _found('that "of the"', ranking_mode="bm25"),
+    "hyphen_exact": _found("by-nc"), "hyphen_split": _found("by nc"),
+    "proximity_bonus": _found(AND, proximity_bonus=True), "find_snippets": _found("license that", snippets=True),
+    "snippets": snippets, "term_lookup": term_lookup, "suggest": suggest, "page_text": page_text, "page_terms": page_terms,
+    "page_hash": page_hash, "incremental_status": incremental_status, "page_hrefs": page_hrefs, "page_links": page_links,
+}
+
+_TOKENS = """
+base as (
+  select cast(doc_id as varchar) as document_id, text, regexp_extract_all(lower(text), '[a-z0-9]+(?:[''-][a-z0-9]+)*') as toks from documents),
+rowed as (select document_id, unnest(toks) as b, generate_subscripts(toks, 1) - 1 as pos from base),
+tok as (select document_id, pos, unnest(case when contains(b, '-') then list_concat([b], string_split(b, '-')) else [b] end) as term from rowed),
+post as (select term, document_id, count(*) as tf, list(pos order by pos) as positions from tok group by all),
+len as (select base.document_id, coalesce(n, 0) as length from base left join (select document_id, count(*) as n from tok group by all) using (document_id)),
+df as (select term, count(*) as df from post group by term),
+stats as (select count(*) as n, sum(length) as total, sum(length) / count(*) as avgdl from len)
+"""
+
+_SNIPPET = """
+snip as (
+  select document_id, toks, len(toks) as n, {terms} as hl,
+         coalesce(list_min(list_filter(generate_series(1, len(toks)), lambda i: list_contains({terms}, toks[i]) or (contains(toks[i], '-') and list_has_any(string_split(toks[i], '-'), {terms})))) - 1, 0) as focus
+  from base),
+win as (select *, greatest(0, focus - 5) as lead, least(n, greatest(0, focus - 5) + 16) as e from snip),
+win2 as (select *, case when e - lead < 16 then greatest(0, e - 16) else lead end as s from win),
+snippets as (
+  select document_id, case when n = 0 then '' else
+    (case when s > 0 then '... ' else '' end) ||
+    list_aggregate(list_transform(toks[s + 1:e], lambda t: case when list_contains(hl, t) or (contains(t, '-') and list_has_any(string_split(t, '-'), hl)) then '[' || t || ']' else t end), 'string_agg', ' ') ||
+    (case when e < n then ' ...' else '' end) end as snippet
+  from win2)
+"""
+
+
+def _find_sql(terms: list[str], phrases: list[list[str]] = (), mode: str = "tfidf", near: bool = False, snippet: bool = False) -> str:
+    quoted = "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+    if mode == "tfidf":
+        part = "tf * (ln((n + 1) / (df + 1)) + 1)"
+    else:
+        part = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))"
+    extra, bonus = "", ""
+    for i, p in enumerate(phrases):
+        joins = " ".join(f"join tok t{k} on t{k}.document_id = t0.document_id and t{k}.pos = t0.pos + {k} and t{k}.term = '{w}'" for k, w in enumerate(p) if k)
+        extra += f", ph{i} as (select distinct t0.document_id from tok t0 {joins} where t0.term = '{p[0]}')"
+        bonus += f" semi join ph{i} using (document_id)"
+    score = "sum(score)"
+    prox = ""
+    if near:
+        extra += f""", places as (select document_id, pos, term from tok where list_contains({quoted}, term)),
+          pairs as (select a.document_id, a.term as x, b.term as y, min(abs(a.pos - b.pos)) as d from places a join places b on a.document_id = b.document_id and a.term < b.term group by all),
+          prox as (select document_id, avg(1 / (1 + d)) as p from pairs group by all)"""
+        prox, score = " join prox using (document_id)", "sum(score) * (1 + 0.35 * any_value(p))"
+    snip = "coalesce(any_value(snippet), '')" if snippet else "''"
+    with_snip = ", " + _SNIPPET.format(terms=quoted) if snippet else ""
+    join_snip = " join snippets using (document_id)" if snippet else ""
+    return f"""with {_TOKENS}{with_snip}{extra},
+    hits as (select post.document_id, term, tf, {part} as score from post join df using (term) join len using (document_id) cross join stats where list_contains({quoted}, term)),
+    good as (select document_id from hits group by document_id having count(*) = {len(terms)})
+    select document_id, 'doc/' || document_id as url, string_agg(term || '=' || tf, ',' order by term) as term_frequencies,
+           round({score}, 6) as score, {snip} as snippet
+    from hits semi join good using (document_id){bonus}{prox}{join_snip} group by document_id"""
+
+
+def _replaced(expr: str, steps) -> str:
+    for pattern, to, flags in steps:
+        expr = f"regexp_replace({expr}, '{pattern}', '{to}', '{flags}')"
+    return expr
+
+
+_PAGE_TEXT = (
+    "list_aggregate(list_filter(list_transform(string_split("
+    + _replaced("html", [
+        ("<!--.*?-->", "\u0001", "gis"), ("<script\\b[^>]*>.*?</script\\s*>", "\u0001", "gis"), ("<style\\b[^>]*>.*?</style\\s*>", "\u0001", "gis"),
+        ("<noscript\\b[^>]*>.*?</noscript\\s*>", "\u0001", "gis"), ("<[/!?a-zA-Z][^>]*>", "\u0001", "gs"), ("&(?:apos;|#0*39;?|#[xX]0*27;?)", "''", "g"),
+        ("&copy;?", "©", "g"), ("&middot;?", "·", "g"), ("&nbsp;?", " ", "g"), ("&lt;?", "<", "g"), ("&gt;?", ">", "g"), ("&quot;?", '"', "g"), ("&amp;?", "&", "g"),
+    ])
+    + ", '\u0001'), lambda t: regexp_replace(t, '^[\\s ]+|[\\s ]+$', '', 'g')), lambda t: t <> ''), 'string_agg', ' ')"
+)
+
+ORACLE_SQL = {
+    "token_positions": f"with {_TOKENS} select document_id, count(*) as n_tokens, cast(sum(pos) as bigint) as sum_pos, count(distinct term) as n_terms, cast(max(pos) as bigint) as last_pos from tok group by document_id",
+    "postings": f"with {_TOKENS} select term, document_id, tf, list_aggregate(positions, 'string_agg', ' ') as positions from post",
+    "term_stats": f"with {_TOKENS} select term, count(*) as df, cast(sum(tf) as bigint) as cf from post group by term",
+    "corpus_stats": f"with {_TOKENS} select n as page_count, cast(total as bigint) as token_count, (select count(*) from df) as unique_terms from stats",
+    "doc_length": f"with {_TOKENS} select document_id, cast(length as bigint) as length from len",
+    "raw_token_index": "select term, count(*) as df from (select distinct doc_id, unnest(list_filter(string_split(lower(text), ' '), lambda t: t <> '')) as term from documents) group by term",
+    "rebuilt_terms": f"with {_TOKENS} select term, df from df",
+    "and_tfidf": _find_sql(["the", "and", "that"]), "and_bm25": _find_sql(["the", "and", "that"], mode="bm25"),
+    "phrase_of_the": _find_sql(["of", "the"], [["of", "the"]]), "phrase_the_the": _find_sql(["the"], [["the", "the"]], "bm25"),
+    "term_plus_phrase": _find_sql(["that", "of", "the"], [["of", "the"]], "bm25"),
+    "hyphen_exact": _find_sql(["by-nc"]), "hyphen_split": _find_sql(["by", "nc"]),
+    "proximity_bonus": _find_sql(["the", "and", "that"], near=True), "find_snippets": _find_sql(["license", "that"], snippet=True),
+    "snippets": f"with {_TOKENS}, {_SNIPPET.format(terms="['the', 'of']")} select document_id, snippet from snippets",
+    "term_lookup": f"with {_TOKENS} select term, df, document_id, 'doc/' || document_id as url, tf, list_aggregate(positions, 'string_agg', ' ') as positions from post join df using (term) where term = 'licensed'",
+    "suggest": f"""with {_TOKENS}, asked as (select unnest(['thatt', 'whichh', 'licensd', 'zzzzzzzz', 'the']) as raw),
+        near as (select raw, term, levenshtein(raw, term) as d from asked join df on abs(len(raw) - len(term)) <= 2 where levenshtein(raw, term) <= 2)
+        select raw, arg_min(term, (d, term)) as suggestion from near group by raw having min(d) > 0""",
+    "page_text": f"select page_id, coalesce({_PAGE_TEXT}, '') as text from pages",
+    "page_terms": "with documents as (select page_id as doc_id, coalesce(" + _PAGE_TEXT + f", '') as text from pages), {_TOKENS} select term, df from df",
+    "page_hash": "select page_id, sha1(html) as content_hash from pages",
+    "incremental_status": """select page_id, case when page_id % 5 <> 1 then 'doc' || (page_id + 1) end as document_id,
+        case page_id % 5 when 1 then 'new' when 0 then 'reindexed' else 'reused' end as status from pages""",
+    "page_hrefs": """select url, generate_subscripts(h, 1) - 1 as pos, unnest(h) as href from (select url, regexp_extract_all(html, '<a\\s[^>]*href="([^"]+)"', 1) as h from pages)""",
+}
