@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +46,27 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no live plan refers to: Spark removes them once the
+    driver's garbage is collected, which a driver with a quiet heap puts off. A plan that
+    has just run is still held by the events about it, hence the second collection."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours that no later plan reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by cut() that no later plan reads."""
     path = getattr(df, "_lodestream_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove(df.sparkSession, path)
 
 
 def whole_text(col: str = "text"):
