@@ -14,7 +14,9 @@ sorts to rank them: only the equality of prefixes is needed, not their order. Ro
 1. sampled suffixes: which names (81 bytes) occur twice or more;
 2. of those, which occur with their whole surroundings (all strings of LENGTH bytes whose
    offset to the sample is below v): all those strings are repeated, and long copies are done;
-3. which names have a member that is not done: their members, done or not, must be compared;
+   and, for bins of offsets, which occur with all the bytes that the bin's strings share;
+3. which repeated bins have a member that is not done: the bin's members, done or not, must be
+   compared string by string;
 4. the remaining suffixes: merged as (bytes up to the sample, name from the sample on), that
    is, by the 128-bit name of the whole string, for the positions of round 3 only.
 
@@ -43,7 +45,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, table
+from .common import cut, drop, new_path, remove, table, tidy
 
 LENGTH = 400
 SHARD = 4 << 20
@@ -71,6 +73,8 @@ COVER = difference_cover()
 PERIOD = 307
 SAMPLE_NAME = 81  # PERIOD - 1 + SAMPLE_NAME <= LENGTH
 BLOCK = 243
+BIN = 52
+_NONE = np.zeros(0, np.uint64)
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[COVER] = True
 
@@ -80,41 +84,58 @@ _BYTE = _R.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _M1, _M2, _M3, _M4 = (_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def _mix(y: np.ndarray) -> np.ndarray:
+def mix(y: np.ndarray) -> np.ndarray:
     y ^= y >> _U(32)
     y *= _M4
     y ^= y >> _U(29)
     return y
 
 
-def _triple(a, b, c) -> np.ndarray:
+def triple(a, b, c) -> np.ndarray:
     y = a * _M1
     y += b * _M2
     y ^= y >> _U(31)
     y *= _M4
     y += c * _M3
-    return _mix(y)
-
-
-def block_names(data: np.ndarray, upto: int = BLOCK) -> dict[int, np.ndarray]:
-    """Names of the blocks of SAMPLE_NAME and BLOCK bytes that start at each position."""
-    x, size, out = _BYTE[data], 1, {}
-    while size < upto:
-        n = len(x) - 2 * size
-        if n <= 0:
-            x = np.zeros(0, np.uint64)
-        else:
-            x = _triple(x[:n], x[size: size + n], x[2 * size: 2 * size + n])
-        size *= 3
-        if size in (SAMPLE_NAME, BLOCK):
-            out[size] = x
+    return mix(y)
+
+
+_STRIDE = 1 << 14  # positions named at a time, so that the work stays in the processor's cache
+
+
+def names_at(data: np.ndarray, pos: np.ndarray, size: int) -> np.ndarray:
+    """Names of the blocks of `size` bytes (a power of three) at ascending positions. Stretches
+    without a position are skipped."""
+    out = np.empty(len(pos), np.uint64)
+    i = 0
+    while i < len(pos):
+        at = int(pos[i])
+        j = int(np.searchsorted(pos, at + _STRIDE))
+        x, width = _BYTE[data[at: int(pos[j - 1]) + size]], 1
+        while width < size:
+            n = len(x) - 2 * width
+            x = triple(x[:n], x[width: width + n], x[2 * width: 2 * width + n])
+            width *= 3
+        out[i:j] = x[pos[i:j] - at]
+        i = j
+    return out
+
+
+def block_array(data: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Names of the blocks of BLOCK bytes by position, filled in around the positions needed."""
+    n = len(data) - BLOCK + 1
+    out = np.empty(max(n, 0), np.uint64)
+    for k in np.flatnonzero(np.bincount(needed // _STRIDE)) if len(needed) else ():
+        here = np.arange(k * _STRIDE, min((k + 1) * _STRIDE, n))
+        if len(here):
+            out[here] = names_at(data, here, BLOCK)
     return out
 
 
 def _pair(a: np.ndarray, b: np.ndarray, c: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of what three overlapping blocks and the length say."""
     s = np.asarray(size).astype(np.uint64)
-    return _triple(a, b, c + s * _M1), _triple(c ^ _M2, a + s * _M3, b)
+    return triple(a, b, c + s * _M1), triple(c ^ _M2, a + s * _M3, b)
 
 
 # --- shard files -----------------------------------------------------------------------
@@ -127,15 +148,16 @@ class Store:
     def __init__(self, folder: str):
         self.fs, self.root = pafs.FileSystem.from_uri(folder)
 
-    def save(self, name: str, **arrays: np.ndarray) -> None:
+    def save(self, file: str, **arrays: np.ndarray) -> None:
         buf = io.BytesIO()
         np.savez(buf, **arrays)
         data = pa.compress(buf.getvalue(), "zstd", asbytes=True)
-        part = f"{self.root}/{name}.{uuid.uuid4().hex}"
+        self.fs.create_dir(f"{self.root}/{file}".rpartition("/")[0], recursive=True)
+        part = f"{self.root}/{file}.{uuid.uuid4().hex}"
         with self.fs.open_output_stream(part, compression=None) as f:
             f.write(len(buf.getvalue()).to_bytes(8, "little"))
             f.write(data)
-        self.fs.move(part, f"{self.root}/{name}")
+        self.fs.move(part, f"{self.root}/{file}")
 
     def load(self, name: str) -> dict[str, np.ndarray]:
         with self.fs.open_input_stream(f"{self.root}/{name}", compression=None) as f:
@@ -145,7 +167,7 @@ class Store:
             return dict(z)
 
 
-def _write_shards(folder: str):
+def write_shards(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, ids, texts, size = Store(folder), [], [], 0
         store.fs.create_dir(store.root, recursive=True)
@@ -177,13 +199,13 @@ def _write_shards(folder: str):
 # --- what each round sends and learns -----------------------------------------------------
 
 
-def _once(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def once(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values, where each first is, and whether it occurs more than once."""
     u, first, count = np.unique(h, return_index=True, return_counts=True)
     return u, first, count > 1
 
 
-def _found(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+def found_in(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(h), bool)
     at = np.searchsorted(sorted_set, h)
@@ -191,7 +213,7 @@ def _found(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == h
 
 
-def _spread(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def spread(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mask of the positions in any [start, end)."""
     d = np.zeros(n + 1, np.int32)
     np.add.at(d, start, 1)
@@ -216,84 +238,94 @@ class Shard:
         pos = np.flatnonzero(np.resize(_IN_COVER, self.n))
         lo, hi = self.bounds(pos)
         pos = pos[(hi - lo >= LENGTH) & (pos + SAMPLE_NAME <= hi)]
-        return pos, block_names(self.data, SAMPLE_NAME)[SAMPLE_NAME][pos] if len(pos) else np.zeros(0, np.uint64)
+        return pos, names_at(self.data, pos, SAMPLE_NAME)
 
     def round1(self, _):
         _, names = self.samples()
-        u, _, multi = _once(names)
+        u, _, multi = once(names)
         return u, np.zeros(0, np.uint64), multi
 
     def round2(self, replies):
         pos, names = self.samples()
-        u, _, multi = _once(names)
-        alive = _found(names, np.union1d(u[multi], replies.get(1, np.zeros(0, np.uint64))))
-        pos, names = pos[alive], names[alive]
+        u, _, multi = once(names)
+        pos = pos[found_in(names, np.union1d(u[multi], replies.get(1, _NONE)))]
+        lo, hi = self.bounds(pos)
+        pos = pos[np.minimum(hi, pos + LENGTH) - np.maximum(lo, pos - PERIOD + 1) >= LENGTH]  # else no string around it fits
+        a, b, bins = self._around(pos)
+        tail = LENGTH - BIN + 1 - BLOCK
+        blocks = block_array(self.data, np.concatenate(
+            [a, np.minimum(a + BLOCK, b - BLOCK), b - BLOCK, *(y for x in bins for y in (x[3], x[3] + tail))]))
+        at = blocks.take
+        # one to three overlapping blocks cover all of the surroundings
+        c1, c2 = _pair(at(a), at(np.minimum(a + BLOCK, b - BLOCK)), at(b - BLOCK), (b - a) * 1024 + (pos - a))
+        name = np.concatenate([_pair(at(x), at(x + tail), np.zeros(len(x), np.uint64), least + 7)[0] for least, _, _, x in bins])
+        self.store.save(f"alive/{self.name}", pos=pos.astype(np.int32), c1=c1, name=name)
+        _, first, multi = once(c1)
+        u, _, multi_bin = once(name)
+        return np.append(c1[first], u), np.append(c2[first], np.zeros(len(u), np.uint64)), np.append(multi, multi_bin)
+
+    def _around(self, pos: np.ndarray):
+        """Start and end of the surroundings of samples; and their bins. A bin holds the
+        strings whose offset to the sample is in a range of BIN: they share LENGTH - BIN + 1
+        bytes, which are the bin's name. Of each bin: its least offset, where its strings
+        start (from, to), where the shared bytes start."""
         lo, hi = self.bounds(pos)
         a, b = np.maximum(lo, pos - PERIOD + 1), np.minimum(hi, pos + LENGTH)
-        blocks = block_names(self.data)[BLOCK]
-        wide = b - a >= LENGTH  # else no string around the sample fits
-        pos, names, a, b = pos[wide], names[wide], a[wide], b[wide]
-        # one to three overlapping blocks cover all of it
-        c1, c2 = _pair(blocks[a], blocks[np.minimum(a + BLOCK, b - BLOCK)], blocks[b - BLOCK], (b - a) * 1024 + (pos - a)) if len(pos) else (names, names)
-        self.store.save(f"{self.name}.alive", pos=pos, names=names, c1=c1, a=a, b=b)
-        _, first, multi = _once(c1)
-        return c1[first], c2[first], multi
+        bins = []
+        for least in range(0, PERIOD, BIN):
+            s = np.maximum(a, pos - min(least + BIN, PERIOD) + 1)
+            e = np.minimum(b - LENGTH, pos - least) + 1
+            live = np.flatnonzero(s < e)
+            bins.append((least, s[live], e[live], pos[live] - least))
+        return a, b, bins
 
     def _state(self, replies):
-        z = self.store.load(f"{self.name}.alive")
-        u, _, multi = _once(z["c1"])
-        z["done"] = _found(z["c1"], np.union1d(u[multi], replies.get(2, np.zeros(0, np.uint64))))
-        z["full"] = _spread(self.n, z["a"][z["done"]], z["b"][z["done"]] - LENGTH + 1)
-        return z
-
-    def _open(self, z) -> np.ndarray:
-        """Samples with a string around them that is not known to be repeated."""
+        z = self.store.load(f"alive/{self.name}")
+        a, b, bins = self._around(z["pos"].astype(np.int64))
+        z["start"], z["end"] = np.concatenate([x[1] for x in bins]), np.concatenate([x[2] for x in bins])
+        two = replies.get(2, _NONE)
+        u, _, multi = once(z["c1"])
+        done = found_in(z["c1"], np.union1d(u[multi], two))
+        z["full"] = spread(self.n, a[done], b[done] - LENGTH + 1)
+        u, _, multi = once(z["name"])
+        twice = found_in(z["name"], np.union1d(u[multi], two))
+        z |= {k: z[k][twice] for k in ("start", "end", "name")}
         undone = np.concatenate([[0], np.cumsum(~z["full"])])
-        return undone[z["b"] - LENGTH + 1] > undone[z["a"]]
+        z["open"] = undone[z["end"]] > undone[z["start"]]
+        return z
 
     def round3(self, replies):
+        """Names of bins that occur twice, and which have a string not known to be repeated."""
         z = self._state(replies)
-        open_ = self._open(z)
-        u, first, multi = _once(z["names"])
-        has_open = np.isin(u, z["names"][open_])
-        return u, np.where(has_open, _U(1), _U(0)), multi
+        self.store.save(
+            f"open/{self.name}", full=np.packbits(z["full"]), start=z["start"].astype(np.int32), end=z["end"].astype(np.int32),
+            name=z["name"], open=z["open"])
+        u, _, multi = once(z["name"])
+        return u, np.isin(u, z["name"][z["open"]]).astype(np.uint64), multi
 
     def round4(self, replies):
-        z = self._state(replies)
-        want = np.union1d(z["names"][self._open(z)], replies.get(3, np.zeros(0, np.uint64)))
-        todo = _found(z["names"], want)
-        mask = _spread(self.n, z["a"][todo], z["b"][todo] - LENGTH + 1)
-        p = np.flatnonzero(mask)
-        if len(p):
-            # names only where they are needed: runs of positions, each with its last string
-            brk = np.flatnonzero(np.diff(p) > 1)
-            first, last = p[np.append(0, brk + 1)], p[np.append(brk, len(p) - 1)]
-            h1, h2 = [], []
-            for s, e in zip(first.tolist(), last.tolist()):
-                b = block_names(self.data[s: e + LENGTH])[BLOCK]
-                m = e - s + 1
-                h1.append(b[:m])
-                h2.append(b[LENGTH - BLOCK: LENGTH - BLOCK + m])
-            h1, h2 = np.concatenate(h1), np.concatenate(h2)
-            w1, w2 = _pair(h1, h2, h1 ^ h2, LENGTH)
-        else:
-            w1 = w2 = np.zeros(0, np.uint64)
-        self.store.save(f"{self.name}.strings", p=p, w1=w1)
-        _, first, multi = _once(w1)
+        z = self.store.load(f"open/{self.name}")
+        todo = z["open"] | found_in(z["name"], replies.get(3, _NONE))
+        p = np.flatnonzero(spread(self.n, z["start"][todo], z["end"][todo]))
+        blocks = block_array(self.data, np.concatenate([p, p + LENGTH - BLOCK]))
+        h1, h2 = blocks[p], blocks[p + LENGTH - BLOCK]
+        w1, w2 = _pair(h1, h2, h1 ^ h2, LENGTH)
+        self.store.save(f"{self.name}.strings", p=p.astype(np.int32), w1=w1)
+        _, first, multi = once(w1)
         return w1[first], w2[first], multi
 
     def repeated(self, replies) -> np.ndarray:
         """Mask of the positions whose string also starts elsewhere."""
-        out = self._state(replies)["full"]
+        out = np.unpackbits(self.store.load(f"open/{self.name}")["full"], count=self.n).astype(bool)
         s = self.store.load(f"{self.name}.strings")
-        u, _, multi = _once(s["w1"])
-        out[s["p"][_found(s["w1"], np.union1d(u[multi], replies.get(4, np.zeros(0, np.uint64))))]] = True
+        u, _, multi = once(s["w1"])
+        out[s["p"][found_in(s["w1"], np.union1d(u[multi], replies.get(4, _NONE)))]] = True
         return out
 
 
 def _results(shard: Shard, replies) -> pa.RecordBatch:
     start = np.flatnonzero(shard.repeated(replies))
-    gone = _spread(shard.n, start, start + LENGTH)
+    gone = spread(shard.n, start, start + LENGTH)
     rows = []
     for k in range(len(shard.ids)):
         a, b = int(shard.ends[k]), int(shard.ends[k + 1])
@@ -308,11 +340,11 @@ def _results(shard: Shard, replies) -> pa.RecordBatch:
 
 # --- sending and comparing -----------------------------------------------------------------
 
-_MESSAGE = "bucket long, shard string, h1 binary, h2 binary, multi binary"
-_REPLY = "shard string, round int, h1 binary"
+MESSAGE = "bucket long, shard string, h1 binary, h2 binary, multi binary"
+REPLY = "shard string, round int, h1 binary"
 
 
-def _by_shard(folder: str, work):
+def by_shard(folder: str, work, kind=None):
     """Rows (shard, round, h1) sorted by shard: round 0 names the shard, others are replies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,12 +355,12 @@ def _by_shard(folder: str, work):
             for _, r, h in group:
                 if r:
                     replies.setdefault(r, []).append(np.frombuffer(h.as_py(), np.uint64))
-            yield from work(Shard(store, name), {r: np.unique(np.concatenate(x)) for r, x in replies.items()})
+            yield from work((kind or Shard)(store, name), {r: np.unique(np.concatenate(x)) for r, x in replies.items()})
 
     return run
 
 
-def _ask(number: int, buckets: int):
+def ask(number: int, buckets: int):
     def work(shard: Shard, replies) -> Iterator[pa.RecordBatch]:
         h1, h2, multi = getattr(shard, f"round{number}")(replies)
         if not len(h1):
@@ -348,7 +380,7 @@ def _ask(number: int, buckets: int):
     return work
 
 
-def _compare(number: int):
+def compare(number: int):
     """Tells each shard which of its names other shards have too. In round 3, h2 says that a
     name has an open member; there the shards that have the name are told so."""
 
@@ -390,18 +422,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
     folder = new_path(spark, "shards")
-    shards = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_write_shards(folder), "shard string, bytes long"), "shard-list")
+    shards = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(write_shards(folder), "shard string, bytes long"), "shard-list")
     row = shards.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     buckets, parts = max(12, row.bytes // BUCKET), max(1, min(row.n, 100_000))
-    known = shards.select("shard", F.lit(0).alias("round"), F.lit(None).cast("binary").alias("h1"))
+    names = shards.select("shard", F.lit(0).alias("round"), F.lit(None).cast("binary").alias("h1"))
+    known, reply = names, None
 
     def on_shards(work, schema: str) -> DataFrame:
-        return known.repartition(parts, "shard").sortWithinPartitions("shard", "round").mapInArrow(_by_shard(folder, work), schema)
+        return known.repartition(parts, "shard").sortWithinPartitions("shard", "round").mapInArrow(by_shard(folder, work), schema)
 
     for number in (1, 2, 3, 4):
-        sent = on_shards(_ask(number, buckets), _MESSAGE)
-        replies = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(number), _REPLY)
-        known = known.union(cut(replies, f"replies{number}"))
+        sent = on_shards(ask(number, buckets), MESSAGE)
+        replies = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare(number), REPLY)
+        previous = reply
+        reply = cut(replies, f"replies{number}")
+        if previous is not None:
+            drop(previous)
+        known = names.union(reply)  # what earlier replies said is in the shards' state
+        if number == 3:
+            remove(spark, f"{folder}/alive")
+        del sent, replies
+        tidy(spark)
     return on_shards(lambda s, r: iter([_results(s, r)]), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
