@@ -184,16 +184,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that fail the base or the posterior go. The verdict follows
-    from the row itself once the rules are fitted, so the texts are not shuffled: the counts
-    are computed in the scan again, and what the first pass leaves is the list of vote patterns
-    to keep (at most 3^rules)."""
-    counted = with_votes(with_word_counts(docs))
+    """Pipeline stage: documents that fail the base or the posterior go. The rows are written
+    beside their counts once, without a shuffle, and read again when the rules are fitted.
+    Whatever columns docs has come back as they are."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
+    counted = cut(with_votes(with_word_counts(packed)).select("__doc", "n_words", "n_repeat_words", "votes"), "quality")
     patterns = cut(counted.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "votes")
     prior, accuracy = fit_rules(patterns, len(RULES))
-    good = [r.votes for r in patterns.filter(posterior(F.col("votes"), prior, accuracy) >= 0.5).collect()]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    # a row number, which is not deterministic to the optimizer, keeps it from copying the
-    # counts' long expressions into the filter
-    numbered = counted.withColumn("__q_row", F.monotonically_increasing_id())
-    return numbered.filter(~failed & F.col("votes").isin(good)).select(*docs.columns)
+    kept = counted.filter(~failed & (posterior(F.col("votes"), prior, accuracy) >= 0.5))
+    return kept.select("__doc.*")
