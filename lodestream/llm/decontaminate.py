@@ -302,3 +302,19 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shuffle; the blocks of a large test set are searched one after the other."""
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(table(spark, sf_dir, "benchmark"), WINDOW)]
     return docs.mapInArrow(_keep_clean(blocks, docs.columns), docs.schema)
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+with i as (select cast(item_id as varchar) as item, {_SQL_WORDS} as w from benchmark where item_id is not null),
+iw as (select distinct item, least(13, len(w)) as n, w[p:p + least(13, len(w)) - 1] as win
+       from (select item, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) as p from i where len(w) > 0)),
+d as (select doc_id, {_SQL_WORDS} as w from documents),
+dp as (select doc_id, w, unnest(generate_series(1, len(w))) as p from d),
+m as (select doc_id, p, dw.n, item from (select doc_id, p, n, w[p:p + n - 1] as win from dp cross join (select distinct n from iw)) dw join iw on dw.n = iw.n and dw.win = iw.win),
+hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(generate_series(p, p + n - 1)) as q from m) group by doc_id),
+it as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from m group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc_id) left join it using (doc_id)
+"""

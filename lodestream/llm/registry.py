@@ -17,4 +17,4 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL = {"op2_warc": warc.SQL}
+ORACLE_SQL = {"op2_warc": warc.SQL, "op6_decontaminate": decontaminate.SQL}
