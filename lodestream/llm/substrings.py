@@ -242,8 +242,7 @@ class Shard:
 
     def round1(self, _):
         _, names = self.samples()
-        u, _, multi = once(names)
-        return u, np.zeros(0, np.uint64), multi
+        return np.unique(names), _NONE
 
     def round2(self, replies):
         pos, names = self.samples()
@@ -260,9 +259,8 @@ class Shard:
         c1, c2 = _pair(at(a), at(np.minimum(a + BLOCK, b - BLOCK)), at(b - BLOCK), (b - a) * 1024 + (pos - a))
         name = np.concatenate([_pair(at(x), at(x + tail), np.zeros(len(x), np.uint64), least + 7)[0] for least, _, _, x in bins])
         self.store.save(f"alive/{self.name}", pos=pos.astype(np.int32), c1=c1, name=name)
-        _, first, multi = once(c1)
-        u, _, multi_bin = once(name)
-        return np.append(c1[first], u), np.append(c2[first], np.zeros(len(u), np.uint64)), np.append(multi, multi_bin)
+        first, u = once(c1)[1], np.unique(name)
+        return np.append(c1[first], u), np.append(c2[first], np.zeros(len(u), np.uint64))
 
     def _around(self, pos: np.ndarray):
         """Start and end of the surroundings of samples; and their bins. A bin holds the
@@ -300,8 +298,8 @@ class Shard:
         self.store.save(
             f"open/{self.name}", full=np.packbits(z["full"]), start=z["start"].astype(np.int32), end=z["end"].astype(np.int32),
             name=z["name"], open=z["open"])
-        u, _, multi = once(z["name"])
-        return u, np.isin(u, z["name"][z["open"]]).astype(np.uint64), multi
+        u = np.unique(z["name"])
+        return u, np.isin(u, z["name"][z["open"]]).astype(np.uint64)
 
     def round4(self, replies):
         z = self.store.load(f"open/{self.name}")
@@ -311,8 +309,8 @@ class Shard:
         h1, h2 = blocks[p], blocks[p + LENGTH - BLOCK]
         w1, w2 = _pair(h1, h2, h1 ^ h2, LENGTH)
         self.store.save(f"{self.name}.strings", p=p.astype(np.int32), w1=w1)
-        _, first, multi = once(w1)
-        return w1[first], w2[first], multi
+        first = once(w1)[1]
+        return w1[first], w2[first]
 
     def repeated(self, replies) -> np.ndarray:
         """Mask of the positions whose string also starts elsewhere."""
@@ -340,7 +338,7 @@ def _results(shard: Shard, replies) -> pa.RecordBatch:
 
 # --- sending and comparing -----------------------------------------------------------------
 
-MESSAGE = "bucket long, shard string, h1 binary, h2 binary, multi binary"
+MESSAGE = "bucket long, shard string, h1 binary, h2 binary"
 REPLY = "shard string, round int, h1 binary"
 
 
@@ -362,20 +360,20 @@ def by_shard(folder: str, work, kind=None):
 
 def ask(number: int, buckets: int):
     def work(shard: Shard, replies) -> Iterator[pa.RecordBatch]:
-        h1, h2, multi = getattr(shard, f"round{number}")(replies)
+        h1, h2 = getattr(shard, f"round{number}")(replies)
         if not len(h1):
             return
         if len(h2) != len(h1):
             h2 = np.zeros(len(h1), np.uint64)
         to = (h1 % _U(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        to, h1, h2, multi = to[order], h1[order], h2[order], multi[order]
+        to, h1, h2 = to[order], h1[order], h2[order]
         used, first = np.unique(to, return_index=True)
         last = np.append(first[1:], len(to))
-        cols = [[x[a:b].tobytes() for a, b in zip(first, last)] for x in (h1, h2 if h2.any() else np.zeros(0, np.uint64), multi)]
+        cols = [[x[a:b].tobytes() for a, b in zip(first, last)] for x in (h1, h2 if h2.any() else _NONE)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), pa.array([shard.name] * len(used)), *(pa.array(c, pa.binary()) for c in cols)],
-            ["bucket", "shard", "h1", "h2", "multi"])
+            ["bucket", "shard", "h1", "h2"])
 
     return work
 
@@ -388,7 +386,7 @@ def compare(number: int):
         rows = (tuple(c[i] for c in b.columns) for b in batches for i in range(b.num_rows))
         for _, group in groupby(rows, key=lambda x: x[0].as_py()):
             names, h1, h2 = [], [], []
-            for _, s, a, b, _m in group:
+            for _, s, a, b in group:
                 names.append(s.as_py())
                 h1.append(np.frombuffer(a.as_py(), np.uint64))
                 two = np.frombuffer(b.as_py(), np.uint64)
