@@ -250,7 +250,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str, how: Bootstrap = B
     n_chars follows the new text, a null text stays null. Rows are told apart by doc_id and
     the text's hash, so rows that repeat a doc_id are each redacted by their own spans."""
     key = ["__p_id", "__p_h"]
-    keyed = docs.withColumns({"__p_id": F.coalesce("doc_id", F.lit(-1)), "__p_h": F.xxhash64("text")})
+    # the row travels as one struct, so none of its columns can clash with the stage's own
+    keyed = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__p_id"), F.xxhash64("text").alias("__p_h"), "text",
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__p_doc"),
+    )
     found = cut(
         with_candidates(with_base_spans(keyed.select(*key, "text")))
         .filter("size(__p_cand) > 0 or size(__p_seed) > 0").select(*key, "__p_cand", "__p_seed"),
@@ -264,13 +268,5 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str, how: Bootstrap = B
     else:
         base = base.join(more, key, "left").withColumn("__p_more", F.coalesce("__p_more", _none()))
     text = F.when(F.col("text").isNotNull(), _redacted(F.col("__p_t"), F.concat("__p_base", "__p_more")))
-    out = base.withColumn("__p_new", text)
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(F.col("__p_new").alias("text"))
-        elif c == "n_chars":
-            cols.append(F.length("__p_new").cast("long").alias("n_chars"))
-        else:
-            cols.append(F.col(c))
-    return out.select(*cols)
+    new = {"text": F.col("__p_new").alias("text"), "n_chars": F.length("__p_new").cast("long").alias("n_chars")}
+    return base.withColumn("__p_new", text).select(*[new.get(c, F.col(f"__p_doc.`{c}`")) for c in docs.columns])

@@ -207,7 +207,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prints = cut(with_fingerprints(docs), "simhash-prints")
     found = prints.join(fingerprint_components(prints), "fp")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    # the row travels as one struct, so none of its columns can clash with the stage's own
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    kept = rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
     if not prints.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.filter("doc_id is null").union(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+        kept = kept.filter("__id is null").union(kept.filter("__id is not null").dropDuplicates(["__id"]))
+    return kept.select("__doc.*")
