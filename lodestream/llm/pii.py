@@ -37,6 +37,14 @@ KINDS = ("email", "ip", "card", "phone")
 DISCOVERED = "id"
 SPAN = "array<struct<k:int,s:int,e:int>>"
 
+# A long text is treated in segments of about SEGMENT characters, so that the work on it grows
+# with its length and not with the square of its matches. A segment ends after a character that
+# no span can hold, or after a space that follows a letter or the like (spans that hold spaces
+# hold none of those). A stretch without either is one segment.
+SEGMENT = 1 << 13
+BEFORE = 64  # characters that are searched for the word before a span
+_SEGMENTS = rf"(?s).{{1,{SEGMENT}}}+(?:.*?(?:[^A-Za-z0-9._%+@#/()\x20-]|(?<=[A-Za-z_%@#/])\x20)|.*)"
+
 
 @dataclass(frozen=True)
 class Bootstrap:
@@ -106,18 +114,36 @@ def _spans(t: Column, kind: int, pattern: str) -> Column:
     ).otherwise(_none())
 
 
-def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds __p_base, the valid base spans by kind and start."""
-    df = docs.withColumn("__p_t", whole_text(text))
-    t = F.col("__p_t")
-    return df.withColumn("__p_base", F.concat(*[
-        _spans(t, k, p) for k, p in enumerate((EMAIL, IP, CARD, PHONE))
-    ]))
+def _segments(t: Column) -> Column:
+    """(at, seg, left): where each segment begins, its text, and the characters before it."""
+    cut_up = F.aggregate(
+        F.regexp_extract_all(t, F.lit(_SEGMENTS), F.lit(0)),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("left"), F.expr("cast(array() as array<struct<at:int,seg:string,left:string>>)").alias("out")),
+        lambda a, x: F.struct(
+            (a["at"] + F.length(x)).alias("at"), F.right(x, F.lit(BEFORE)).alias("left"),
+            F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), x.alias("seg"), a["left"].alias("left")))).alias("out"),
+        ),
+    )["out"]
+    whole = F.array(F.struct(F.lit(0).alias("at"), t.alias("seg"), F.lit("").alias("left")))
+    return F.when(F.length(t) <= SEGMENT, whole).otherwise(cut_up)
 
 
-def _before(t: Column, s: Column) -> Column:
-    """The word before position s, in lower case without outer punctuation."""
-    left = F.substr(t, F.greatest(s - 63, F.lit(1)), F.least(s, F.lit(64)))
+def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds __p_base, the valid base spans by kind and start, and __p_seg, the segments with
+    their own base spans."""
+    df = docs.withColumn("__p_t", whole_text(text))
+    df = df.withColumn("__p_seg", F.transform(_segments(F.col("__p_t")), lambda g: F.struct(
+        g["at"].alias("at"), g["seg"].alias("seg"), g["left"].alias("left"),
+        F.concat(*[_spans(g["seg"], k, p) for k, p in enumerate((EMAIL, IP, CARD, PHONE))]).alias("base"),
+    )))
+    return df.withColumn("__p_base", F.array_sort(F.flatten(F.transform("__p_seg", lambda g: F.transform(g["base"], lambda b: F.struct(
+        b["k"].alias("k"), (b["s"] + g["at"]).alias("s"), (b["e"] + g["at"]).alias("e")))))))
+
+
+def _before(g: Column, s: Column) -> Column:
+    """The word before position s of a segment, in lower case without outer punctuation."""
+    end = s + F.length(g["left"])
+    left = F.substr(F.concat(g["left"], g["seg"]), F.greatest(end - (BEFORE - 1), F.lit(1)), F.least(end, F.lit(BEFORE)))
     return _normal(F.regexp_extract(left, r"([^\s]+)\s*$", 1))
 
 
@@ -128,21 +154,24 @@ def _normal(word: Column) -> Column:
 def with_candidates(df: DataFrame) -> DataFrame:
     """Adds __p_cand: (s, e, p, m) of identifier-like tokens outside the base spans, and
     __p_seed: (p, m) of the base spans."""
-    t, base = F.col("__p_t"), F.col("__p_base")
-    free = F.filter(
-        _located(t, CANDIDATE, len(KINDS)),
-        lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
-    )
-    cand = F.transform(free, lambda x: F.struct(
-        x["s"].alias("s"), x["e"].alias("e"), _before(t, x["s"]).alias("p"), x["m"].alias("m"),
-    ))
-    seed = F.transform(base, lambda b: F.struct(
-        _before(t, b["s"]).alias("p"), F.substr(t, b["s"] + 1, b["e"] - b["s"]).alias("m"),
-    ))
+    def candidates(g: Column) -> Column:
+        free = F.filter(
+            _located(g["seg"], CANDIDATE, len(KINDS)),
+            lambda x: ~F.exists(g["base"], lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
+        )
+        return F.transform(free, lambda x: F.struct(
+            (x["s"] + g["at"]).alias("s"), (x["e"] + g["at"]).alias("e"), _before(g, x["s"]).alias("p"), x["m"].alias("m"),
+        ))
+
+    def seeds(g: Column) -> Column:
+        return F.transform(g["base"], lambda b: F.struct(
+            _before(g, b["s"]).alias("p"), F.substr(g["seg"], b["s"] + 1, b["e"] - b["s"]).alias("m"),
+        ))
+
     return df.withColumns({
-        "__p_cand": F.when(t.rlike("[0-9]"), cand).otherwise(
+        "__p_cand": F.when(F.col("__p_t").rlike("[0-9]"), F.flatten(F.transform("__p_seg", candidates))).otherwise(
             F.expr("cast(array() as array<struct<s:int,e:int,p:string,m:string>>)")),
-        "__p_seed": seed,
+        "__p_seed": F.flatten(F.transform("__p_seg", seeds)),
     })
 
 
@@ -228,7 +257,7 @@ def op1_pii(spark: SparkSession, sf_dir: str, how: Bootstrap = Bootstrap()) -> D
     )
 
 
-def _redacted(t: Column, spans: Column) -> Column:
+def _redacted_segment(t: Column, spans: Column) -> Column:
     """Each span becomes <KIND>; a span that begins inside an earlier one extends it."""
     marks = F.array(*[F.lit(f"<{x.upper()}>") for x in (*KINDS, DISCOVERED)])
     by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
@@ -241,8 +270,18 @@ def _redacted(t: Column, spans: Column) -> Column:
             )).otherwise(a["out"]).alias("out"),
         ),
     )
-    rest = F.concat(done["out"], F.substr(t, done["at"] + 1, F.length(t)))
-    return F.when(F.size(spans) > 0, rest).otherwise(t)
+    return F.concat(done["out"], F.substr(t, done["at"] + 1, F.length(t)))
+
+
+def _redacted(t: Column, segments: Column, spans: Column) -> Column:
+    def part(g: Column) -> Column:
+        own = F.transform(
+            F.filter(spans, lambda x: (x["s"] >= g["at"]) & (x["s"] < g["at"] + F.length(g["seg"]))),
+            lambda x: F.struct(x["k"].alias("k"), (x["s"] - g["at"]).alias("s"), (x["e"] - g["at"]).alias("e")),
+        )
+        return F.when(F.size(own) > 0, _redacted_segment(g["seg"], own)).otherwise(g["seg"])
+
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(segments, part), "")).otherwise(t)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str, how: Bootstrap = Bootstrap()) -> DataFrame:
@@ -267,6 +306,6 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str, how: Bootstrap = B
         base = base.withColumn("__p_more", _none())
     else:
         base = base.join(more, key, "left").withColumn("__p_more", F.coalesce("__p_more", _none()))
-    text = F.when(F.col("text").isNotNull(), _redacted(F.col("__p_t"), F.concat("__p_base", "__p_more")))
+    text = F.when(F.col("text").isNotNull(), _redacted(F.col("__p_t"), F.col("__p_seg"), F.concat("__p_base", "__p_more")))
     new = {"text": F.col("__p_new").alias("text"), "n_chars": F.length("__p_new").cast("long").alias("n_chars")}
     return base.withColumn("__p_new", text).select(*[new.get(c, F.col(f"__p_doc.`{c}`")) for c in docs.columns])
