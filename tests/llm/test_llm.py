@@ -102,6 +102,36 @@ def test_pii(spark):
     assert out[0] == "badge <ID> and text" and out[6] == "badge <IP> here" and out[14] == "badge" and out[15] is None
 
 
+def test_pii_in_long_texts(spark):
+    """Segments change nothing: base spans are those of the plain expressions on whole texts."""
+    from lodestream.llm import pii
+
+    r = random.Random(3)
+    parts = ["a@b.co", "x.y", "4111 1111 1111 1111", "+1 (555) 123-4567", "10.0.0.1", "999.1.1.1", ",", "\n", "é", "id", "AB-1234", "12", " ", "1", "-", "+", "word", "@"]
+    texts = ["".join(r.choice(parts) + (" " if r.random() < 0.5 else "") for _ in range(n)) for n in (3000, 6000, 9000)]
+    texts.append(" ".join(f"a{i}@b{i}.com" for i in range(5000)))
+
+    def luhn(m):
+        return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(re.sub("[^0-9]", "", m)[::-1])) % 10 == 0
+
+    def digits(m):
+        return len(re.sub("[^0-9]", "", m))
+
+    plain = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= digits(m) <= 19 and luhn(m)),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= digits(m) <= 15),
+    ]
+    df = pii.with_base_spans(docs(spark, texts))
+    for row in df.select("doc_id", "__p_base", F.size("__p_seg").alias("parts")).collect():
+        t = texts[row.doc_id]
+        assert row.parts > 1
+        assert [tuple(x) for x in row["__p_base"]] == [(k, m.start(), m.end()) for k, (p, ok) in enumerate(plain) for m in re.finditer(p, t) if ok(m.group())]
+    same = df.select("text", pii._redacted(F.col("__p_t"), F.col("__p_seg"), F.col("__p_base")).alias("new")).collect()
+    assert all("a@b.co" not in x.new and x.new.count("<EMAIL>") >= 5 for x in same)
+
+
 def test_packing_covers_every_id(spark):
     from lodestream.llm import packing as p
 
@@ -199,6 +229,22 @@ def test_passages(spark):
     assert all(x.jaccard >= 0.8 for x in rows)
 
 
+def test_edited_passages_are_linked(spark):
+    """Passages with a word changed here and there, of similarity 0.8 or more."""
+    from lodestream.llm import passages as p
+
+    r, texts = random.Random(1), []
+    for i in range(60):
+        a = words(80 + i, 1000 + i).split()
+        b = list(a)
+        b[r.randrange(len(b))] = "changed"
+        texts += [f"{words(r.randint(5, 99), 2000 + i)} {' '.join(x)} {words(r.randint(5, 99), 3000 + i)}" for x in (a, b)]
+    cls = {}
+    for x in p.near_passages(docs(spark, texts).repartition(4)).collect():
+        cls[x.doc_id] = cls[x.other_doc_id] = x.class_id
+    assert cls == {i: i - i % 2 for i in range(120)}
+
+
 def test_scores_on_separable_labels(spark):
     from lodestream.llm import classifier, toxicity
 
