@@ -31,7 +31,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _ID = "[A-Za-z0-9._%+@#/-]"
-CANDIDATE = rf"(?<!{_ID})(?=[A-Za-z._%+@#/-]{{0,40}}[0-9]){_ID}{{6,64}}(?!{_ID})"
+CANDIDATE = rf"(?<!{_ID})(?=[A-Za-z._%+@#/-]*+[0-9]){_ID}{{4,}}+"
+# Words end at white space and at what encloses or introduces a value; outer punctuation is not part of them.
+_BREAK = r"\s\"()\[\]{}<>=:|"
+_OUTER = ".,;:!?\"'()[]{}<>=|*#&%$"
+_LAST = rf"([^{_BREAK}]*[^\s.,;:!?\"'()\[\]{{}}<>=|*#&%$])[\s.,;:!?\"'()\[\]{{}}<>=|*#&%$]*$"
 
 KINDS = ("email", "ip", "card", "phone")
 DISCOVERED = "id"
@@ -141,14 +145,15 @@ def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _before(g: Column, s: Column) -> Column:
-    """The word before position s of a segment, in lower case without outer punctuation."""
+    """The word before position s of a segment, in lower case without outer punctuation, past
+    quotes, brackets, colons and equals signs."""
     end = s + F.length(g["left"])
     left = F.substr(F.concat(g["left"], g["seg"]), F.greatest(end - (BEFORE - 1), F.lit(1)), F.least(end, F.lit(BEFORE)))
-    return _normal(F.regexp_extract(left, r"([^\s]+)\s*$", 1))
+    return _normal(F.regexp_extract(left, _LAST, 1))
 
 
 def _normal(word: Column) -> Column:
-    return F.btrim(F.lower(word), F.lit(".,;:!?\"'()[]{}<>=|*#&%$"))
+    return F.btrim(F.lower(word), F.lit(_OUTER))
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
@@ -195,7 +200,7 @@ def learn_patterns(docs: DataFrame, found: DataFrame, how: Bootstrap) -> DataFra
     edges = cut(edges, "pii-edges")
     hopeful = edges.groupBy("p").agg(F.sum("n").alias("most"), F.count("*").alias("kinds")).filter(F.col("kinds") >= how.min_support)
     words = (
-        docs.select(F.explode(F.split(whole_text(), r"\s+")).alias("w"))
+        docs.select(F.explode(F.split(whole_text(), f"[{_BREAK}]+")).alias("w"))
         .select(_normal(F.col("w")).alias("p")).filter("p <> ''")
         .groupBy("p").agg(F.count("*").alias("total"))
     )
