@@ -8,23 +8,25 @@ their places, and matches are extended to their full length. Shards need no shuf
 over the documents, in any partitioning.
 
 The test windows are sent to the executors in blocks of a fixed number of words; a larger test
-set takes more passes, whose hits are united. Cases: a null text has no words, an empty one
-neither; an item without words has no window; repeated rows are judged alike; with no items
-nothing is contaminated; extra columns are ignored. Matches never cross documents or items.
+set takes more passes, whose hits are united, one block in an executor's memory at a time.
+Cases: a null text has no words, an empty one neither; an item without words has no window; the
+windows of an item without item_id are hit like others, only its id is left out of the list;
+repeated rows are judged alike; with no items nothing is contaminated; extra columns are
+ignored. Matches never cross documents or items.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import cut, pieces, table
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000  # of test items in one block
@@ -46,11 +48,11 @@ class TestBlock:
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     windows: np.ndarray | None = None
     lengths: np.ndarray | None = None
-    items: list[str] = field(default_factory=list)
+    items: list[str | None] = field(default_factory=list)
     item_of: np.ndarray | None = None
 
     @classmethod
-    def of(cls, rows: list[tuple[str, str | None]], window: int) -> TestBlock:
+    def of(cls, rows: list[tuple[str | None, str | None]], window: int) -> TestBlock:
         out, wins, lens, owner = cls(), [], [], []
         for item, text in rows:
             ids = [out.vocabulary.setdefault(w, len(out.vocabulary) + 1) for w in words_of(text)]
@@ -128,6 +130,33 @@ def _shards(texts: list[str | None], vocabulary: dict[bytes, int]):
         yield lo, sizes, np.cumsum(sizes + 1) - sizes - 1, np.concatenate(parts)
 
 
+def maximal(block: TestBlock, pos: np.ndarray, win: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, words, window number of the first window) of the longest verbatim matches:
+    windows of an item that follow each other in a document are one match."""
+    if not len(pos):
+        return pos, pos, win
+    order = np.lexsort((pos, pos - win, block.item_of[win]))
+    pos, win = pos[order], win[order]
+    item = block.item_of[win]
+    first = np.ones(len(pos), bool)
+    first[1:] = (item[1:] != item[:-1]) | (pos[1:] != pos[:-1] + 1) | (win[1:] != win[:-1] + 1)
+    at = np.flatnonzero(first)
+    size = np.diff(np.append(at, len(pos)))
+    return pos[at], size - 1 + block.lengths[win[at]], win[at]
+
+
+def _hits(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block: TestBlock, pos: np.ndarray, win: np.ndarray):
+    """Of each document: how many words any window covers, the longest match."""
+    covered = np.zeros(len(words) + 1, np.int64)
+    np.add.at(covered, pos, 1)
+    np.add.at(covered, pos + block.lengths[win], -1)
+    hit = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:-1] > 0)])
+    at, length, _ = maximal(block, pos, win)
+    longest = np.zeros(len(sizes), np.int64)
+    np.maximum.at(longest, np.searchsorted(starts, at, side="right") - 1, length)
+    return hit[starts + sizes] - hit[starts], longest
+
+
 def _matcher(block_var, detailed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: TestBlock = block_var.value
@@ -136,50 +165,32 @@ def _matcher(block_var, detailed: bool):
             ids = b.column(0).to_pylist()
             for first, sizes, starts, words in _shards(texts, block.vocabulary):
                 pos, win = search(words, block)
-                doc = np.searchsorted(starts, pos, side="right") - 1
                 if detailed:
-                    yield from _longest(block, words, pos, win, doc, starts, ids, first)
+                    at, length, win = maximal(block, pos, win)
+                    doc = np.searchsorted(starts, at, side="right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[first + d] for d in doc.tolist()], pa.int64()), pa.array(at - starts[doc]),
+                         pa.array([block.items[i] for i in block.item_of[win].tolist()], pa.string()), pa.array(length.astype(np.int64))],
+                        ["doc_id", "start_word", "item_id", "n_words"])
                     continue
-                covered = np.zeros(len(words) + 1, np.int64)
-                np.add.at(covered, pos, 1)
-                np.add.at(covered, pos + block.lengths[win], -1)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:-1] > 0)])
-                n_hit = hit[starts + sizes] - hit[starts]
+                n_hit, longest = _hits(words, starts, sizes, block, pos, win)
+                doc = np.searchsorted(starts, pos, side="right") - 1
                 pairs = np.unique(np.stack([doc, block.item_of[win]], axis=1), axis=0) if len(pos) else np.zeros((0, 2), np.int64)
                 at = np.searchsorted(pairs[:, 0], np.arange(len(sizes) + 1))
-                items = [[block.items[i] for i in pairs[at[k]: at[k + 1], 1]] for k in range(len(sizes))]
+                items = [[block.items[i] for i in pairs[at[k]: at[k + 1], 1] if block.items[i] is not None] for k in range(len(sizes))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first: first + len(sizes)], pa.int64()), pa.array(sizes), pa.array(n_hit.astype(np.int64)), pa.array(items, pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "n_hit", "items"],
+                    [pa.array(ids[first: first + len(sizes)], pa.int64()), pa.array(sizes), pa.array(n_hit.astype(np.int64)),
+                     pa.array(items, pa.list_(pa.string())), pa.array(longest)],
+                    ["doc_id", "n_words", "n_hit", "items", "longest_match"],
                 )
 
     return run
 
 
-def _longest(block, words, pos, win, doc, starts, ids, first):
-    """One row for each place and item: the longest verbatim match that starts there."""
-    if not len(pos):
-        return
-    seen: dict[tuple[int, int], int] = {}
-    for p, w in zip(pos.tolist(), win.tolist()):
-        n, item = int(block.lengths[w]), int(block.item_of[w])
-        k = w
-        # the item's windows follow each other, so a match goes on while the next one's last word fits
-        while k + 1 < len(block.item_of) and block.item_of[k + 1] == item and words[p + n] == block.windows[k + 1][block.lengths[k + 1] - 1]:
-            k += 1
-            n += 1
-        seen[p, item] = max(n, seen.get((p, item), 0))
-    rows = [(ids[first + int(d)], int(p - starts[d]), block.items[i], n) for (p, i), n in seen.items() for d in [np.searchsorted(starts, p, side="right") - 1]]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.int64())],
-        ["doc_id", "start_word", "item_id", "n_words"],
-    )
-
-
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[TestBlock]:
     """The test items in blocks of at most BLOCK_WORDS words (one item at least)."""
     rows, size = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").filter("item_id is not null").toLocalIterator():
+    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         n = len(words_of(text))
         if rows and size + n > BLOCK_WORDS:
             yield TestBlock.of(rows, window)
@@ -189,48 +200,53 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[TestBlock]:
     yield TestBlock.of(rows, window)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, start_word, item_id, n_words of the longest verbatim matches of at least one
-    window, wherever they start."""
-    spark, out = docs.sparkSession, None
-    for block in _blocks(benchmark, window):
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            _matcher(spark.sparkContext.broadcast(block), True), "doc_id long, start_word long, item_id string, n_words long")
+def _passes(docs: DataFrame, blocks: Iterable[TestBlock], work, schema: str, label: str) -> DataFrame:
+    """One pass over docs a block, each written out before the next block is sent, so that no
+    executor holds more than one."""
+    out = None
+    for block in blocks:
+        var = docs.sparkSession.sparkContext.broadcast(block)
+        part = cut(docs.mapInArrow(work(var), schema), label)
+        var.destroy()
         out = part if out is None else out.union(part)
     return out
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, start_word, item_id, n_words of the longest verbatim matches of at least one
+    window: each as far as it goes in both texts."""
+    return _passes(
+        docs.select(F.col("doc_id").cast("long"), "text"), _blocks(benchmark, window), lambda var: _matcher(var, True),
+        "doc_id long, start_word long, item_id string, n_words long", "matches")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as sorted strings) of every row."""
-    spark, parts = docs.sparkSession, []
-    schema = "doc_id long, n_words long, n_hit long, items array<string>"
-    for block in _blocks(benchmark, window):
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            _matcher(spark.sparkContext.broadcast(block), False), schema))
-    if len(parts) == 1:
-        return parts[0].withColumn("items", F.array_sort(F.array_distinct("items")))
-    return _united(docs, benchmark, window)
-
-
-def _united(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """Several blocks: their matches are united for each row. Rows are told apart by doc_id
-    and the text's hash (rows equal in both have equal results)."""
+    """doc_id, n_words, n_hit, items (ids as sorted strings), longest_match of every row."""
+    spark, blocks = docs.sparkSession, _blocks(benchmark, window)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+            _matcher(spark.sparkContext.broadcast(first), False), "doc_id long, n_words long, n_hit long, items array<string>, longest_match long",
+        ).withColumn("items", F.array_sort(F.array_distinct("items")))
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
-    spark, hits = docs.sparkSession, None
-    base = keyed.select(F.struct("doc_id", "h").alias("key"), "text")
-    for block in _blocks(benchmark, window):
-        var = spark.sparkContext.broadcast(block)
-        part = base.mapInArrow(_interval_rows(var), "doc_id long, h long, s long, e long, item string")
-        hits = part if hits is None else hits.union(part)
+    return _united(keyed, chain((first, second), blocks)).drop("h")
+
+
+def _united(keyed: DataFrame, blocks: Iterable[TestBlock]) -> DataFrame:
+    """Several blocks: their matches are united for each row. Rows (doc_id, h, text) are told
+    apart by doc_id and the text's hash (rows equal in both have equal results)."""
+    hits = _passes(
+        keyed.select(F.struct("doc_id", "h").alias("key"), "text"), blocks, _interval_rows, "doc_id long, h long, s long, e long, item string", "hits")
     merged = hits.groupBy("doc_id", "h").agg(
-        F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+        F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"),
+        F.max(F.col("e") - F.col("s")).alias("longest"))
     n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(
         F.greatest(a["to"], x["e"]).alias("to"), (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["to"], x["s"]))).alias("n")))["n"]
     sizes = keyed.mapInArrow(_word_counts, "doc_id long, h long, n_words long")
-    m = merged.withColumn("n_hit", n_hit).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n_hit", "items")
+    m = merged.withColumn("n_hit", n_hit).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n_hit", "items", "longest")
     return sizes.join(m, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+        "doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest_match"))
 
 
 def _word_counts(batches):
@@ -245,13 +261,13 @@ def _interval_rows(block_var):
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for first, _, starts, words in _shards(texts, block.vocabulary):
-                pos, win = search(words, block)
-                doc = np.searchsorted(starts, pos, side="right") - 1
+                at, length, win = maximal(block, *search(words, block))
+                doc = np.searchsorted(starts, at, side="right") - 1
                 own = [keys[first + d] for d in doc.tolist()]
-                s = pos - starts[doc] if len(pos) else pos
+                s = at - starts[doc] if len(at) else at
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k["doc_id"] for k in own], pa.int64()), pa.array([k["h"] for k in own], pa.int64()), pa.array(s),
-                     pa.array(s + block.lengths[win]).cast(pa.int64()), pa.array([block.items[i] for i in block.item_of[win].tolist()], pa.string())],
+                     pa.array(s + length).cast(pa.int64()), pa.array([block.items[i] for i in block.item_of[win].tolist()], pa.string())],
                     ["doc_id", "h", "s", "e", "item"])
 
     return run
@@ -265,56 +281,57 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged(found).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest_match",
     )
 
 
-def _keep_clean(block_vars, names):
+def affected(n_hit, n_words, longest, window: int = WINDOW):
+    """Whether a document goes: it holds a verbatim match of a whole window, however long it is,
+    or its words are hit to a twentieth (which is all that shorter items can do)."""
+    return (longest >= window) | ((n_hit > 0) & (20 * n_hit >= n_words))
+
+
+def _keep_clean(block_var, at: int):
     def run(batches):
-        at = names.index("text")
+        block: TestBlock = block_var.value
         for b in batches:
-            texts = b.column(at).to_pylist()
-            keep = np.ones(len(texts), bool)
-            hit: dict[int, list] = {}
-            total = [0] * len(texts)
-            for var in block_vars:
-                block = var.value
-                for first, sizes, starts, words in _shards(texts, block.vocabulary):
-                    pos, win = search(words, block)
-                    for k, n in enumerate(sizes.tolist()):
-                        total[first + k] = n
-                    doc = np.searchsorted(starts, pos, side="right") - 1
-                    for d, p, n in zip(doc.tolist(), pos.tolist(), block.lengths[win].tolist()):
-                        hit.setdefault(first + d, []).append((p - int(starts[d]), n))
-            for d, spans in hit.items():
-                end = n_hit = 0
-                for s, n in sorted(spans):
-                    n_hit += max(0, s + n - max(s, end))
-                    end = max(end, s + n)
-                keep[d] = 20 * n_hit < total[d]
+            keep = np.ones(b.num_rows, bool)
+            for first, sizes, starts, words in _shards(b.column(at).to_pylist(), block.vocabulary):
+                n_hit, longest = _hits(words, starts, sizes, block, *search(words, block))
+                keep[first: first + len(sizes)] = ~affected(n_hit, sizes, longest)
             yield b.filter(pa.array(keep))
 
     return run
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go. Decided where the text is, without a
-    shuffle; the blocks of a large test set are searched one after the other."""
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(table(spark, sf_dir, "benchmark"), WINDOW)]
-    return docs.mapInArrow(_keep_clean(blocks, docs.columns), docs.schema)
+    """Pipeline stage: affected documents go. One block of test windows decides where the text
+    is, without a shuffle; several are searched one after the other and their matches united."""
+    blocks = _blocks(table(spark, sf_dir, "benchmark"), WINDOW)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_keep_clean(spark.sparkContext.broadcast(first), docs.columns.index("text")), docs.schema)
+    # the row travels as one struct, so none of its columns can clash with the stage's own
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    found = _united(rows.select("doc_id", "h", "text"), chain((first, second), blocks))
+    gone = found.filter(affected(F.col("n_hit"), F.col("n_words"), F.col("longest_match"))).select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct()
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g")), "left_anti").select("__doc.*")
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = f"""
-with i as (select cast(item_id as varchar) as item, {_SQL_WORDS} as w from benchmark where item_id is not null),
-iw as (select distinct item, least(13, len(w)) as n, w[p:p + least(13, len(w)) - 1] as win
-       from (select item, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) as p from i where len(w) > 0)),
+with i as (select row_number() over () as own, cast(item_id as varchar) as item, {_SQL_WORDS} as w from benchmark),
+iw as (select own, item, q, least(13, len(w)) as n, w[q:q + least(13, len(w)) - 1] as win
+       from (select own, item, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) as q from i where len(w) > 0)),
 d as (select doc_id, {_SQL_WORDS} as w from documents),
 dp as (select doc_id, w, unnest(generate_series(1, len(w))) as p from d),
-m as (select doc_id, p, dw.n, item from (select doc_id, p, n, w[p:p + n - 1] as win from dp cross join (select distinct n from iw)) dw join iw on dw.n = iw.n and dw.win = iw.win),
+m as (select doc_id, p, dw.n, item, own, q from (select doc_id, p, n, w[p:p + n - 1] as win from dp cross join (select distinct n from iw)) dw join iw on dw.n = iw.n and dw.win = iw.win),
 hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(generate_series(p, p + n - 1)) as q from m) group by doc_id),
-it as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from m group by doc_id)
+it as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from m group by doc_id),
+run as (select doc_id, n, p - row_number() over (partition by doc_id, own, p - q order by p) as island, own, p - q as diagonal from m),
+lg as (select doc_id, max(words) as longest from (select doc_id, any_value(n) + count(*) - 1 as words from run group by doc_id, own, diagonal, island) group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join hit using (doc_id) left join it using (doc_id)
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
+       cast(coalesce(longest, 0) as bigint) as longest_match
+from d left join hit using (doc_id) left join it using (doc_id) left join lg using (doc_id)
 """
