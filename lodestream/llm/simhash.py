@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 from .components import connected_components
 
 SHINGLE = 3
@@ -60,9 +60,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, which stands last, becomes its fingerprint."""
     for b in batches:
-        fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        fp = np.fromiter((fingerprint(x.as_py()) for x in b.columns[-1]), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], [*b.schema.names[:-1], "fp"])
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
@@ -201,15 +202,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+_NO_ID = (1 << 63) - 1
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every component the document with the smallest doc_id stays. Rows
-    that repeat a doc_id count as copies, of which one stays; rows without doc_id stay."""
-    prints = cut(with_fingerprints(docs), "simhash-prints")
-    found = prints.join(fingerprint_components(prints), "fp")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    """Pipeline stage: of every group of linked fingerprints the row with the smallest doc_id
+    stays (of those that share it, the one with the smallest hash of its text; rows without
+    doc_id come last). Rows that repeat a doc_id with texts that are not near-duplicates are
+    documents of their own and stay."""
+    own = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__h": F.xxhash64("text")}
+    key = [c.alias(n) for n, c in own.items()]
+    prints = cut(docs.select(*key, "text").mapInArrow(_fingerprints, "__id long, __h long, fp long"), "simhash-prints")
+    best = prints.groupBy("fp").agg(F.min(F.struct("__id", "__h")).alias("best"))
+    groups = fingerprint_components(prints.select(F.col("fp").alias("doc_id"), "fp"))
+    stay = cut(best.join(groups, "fp").groupBy("component_id").agg(F.min("best").alias("best")).select("best.*"), "simhash-stay")
     # the row travels as one struct, so none of its columns can clash with the stage's own
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
-    kept = rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    if not prints.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.filter("__id is null").union(kept.filter("__id is not null").dropDuplicates(["__id"]))
+    kept = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")).join(stay, ["__id", "__h"], "left_semi")
+    if prints.count() > prints.select("__id", "__h").distinct().count():  # rows that are equal in both: one of them
+        kept = kept.dropDuplicates(["__id", "__h"])
+    drop(prints)
     return kept.select("__doc.*")
