@@ -3,10 +3,10 @@
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Bytes are embedded,
 learned filters slide over each chunk, and each filter's greatest response in the chunk is
 kept. The chunks' responses are combined (their mean and their maximum, by filter) into one
-logistic unit. Trained by Adam on at most SAMPLE labelled rows of the training part (those of
-smallest hash of doc_id), of which at most TRAIN_CHUNKS evenly spaced chunks are used; scoring
-covers every byte of every text, in one pass without a shuffle and with one chunk batch in
-memory at a time.
+logistic unit. Trained by Adam on whole texts: at most SAMPLE labelled rows of the training part
+(those of smallest hash of doc_id), and no more of them than have TRAIN_BYTES in all. Scoring
+covers every byte of every text, in one pass without a shuffle; a bounded number of chunks is
+convolved at a time.
 
 Cases: a null or empty text is one chunk of padding and gets that chunk's score; repeated rows
 get the same score; null labels are left out; without labels of both kinds all scores are 0.5
@@ -20,18 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, drop, table
 from .toxicity import held_out, training_rows
 
 SAMPLE = 6_000
-TRAIN_CHUNKS = 6
+TRAIN_BYTES = 64 << 20  # of the texts that are fitted, which the driver holds
 CHUNK = 512
 STEP = 448  # chunks overlap by 64 bytes
 WIDTH = 8
-STRIDE = 2
 EMBED = 6
 FILTERS = 20
 EPOCHS = 8
@@ -48,12 +47,10 @@ def chunk_starts(n: int) -> np.ndarray:
     return np.append(np.arange(k) * STEP, n - CHUNK)
 
 
-def chunks_of(data: bytes, most: int | None = None) -> np.ndarray:
-    """(chunks, CHUNK) symbols; with most, evenly spaced chunks only."""
+def chunks_of(data: bytes) -> np.ndarray:
+    """(chunks, CHUNK) symbols."""
     a = np.frombuffer(data, np.uint8)
     starts = chunk_starts(len(a))
-    if most and len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).round().astype(int)]
     if len(a) < CHUNK:
         out = np.full((1, CHUNK), PAD, np.int16)
         out[0, : len(a)] = a
@@ -84,15 +81,19 @@ class ByteNet:
         """(chunks, places, WIDTH * EMBED)"""
         e = self.embed[symbols].reshape(len(symbols), -1)
         view = np.lib.stride_tricks.sliding_window_view(e, WIDTH * EMBED, axis=1)
-        return view[:, :: STRIDE * EMBED]
-
-    def pooled(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each filter's greatest response in each chunk, after a rectifier; where it was; the windows."""
-        x = np.ascontiguousarray(self.windows(symbols))
-        y = (x.reshape(-1, x.shape[-1]) @ self.filters).reshape(len(symbols), -1, FILTERS)
-        at = y.argmax(axis=1)
-        best = np.take_along_axis(y, at[:, None], axis=1)[:, 0] + self.bias
-        return np.maximum(best, 0), at, x
+        return view[:, ::EMBED]
+
+    def pooled(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's greatest response in each chunk, after a rectifier, and where it was;
+        SCORE_CHUNKS chunks are convolved at a time."""
+        best, where = [], []
+        for lo in range(0, len(symbols), SCORE_CHUNKS):
+            x = np.ascontiguousarray(self.windows(symbols[lo: lo + SCORE_CHUNKS]))
+            y = (x.reshape(-1, x.shape[-1]) @ self.filters).reshape(len(x), -1, FILTERS)
+            at = y.argmax(axis=1)
+            best.append(np.take_along_axis(y, at[:, None], axis=1)[:, 0] + self.bias)
+            where.append(at)
+        return np.maximum(np.concatenate(best), 0), np.concatenate(where)
 
     def respond(self, symbols: np.ndarray) -> np.ndarray:
         x = np.ascontiguousarray(self.windows(symbols))
@@ -149,7 +150,7 @@ def train_net(data: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate:
             sizes = np.array([len(data[i]) for i in pick])
             first = np.cumsum(sizes) - sizes
             symbols = np.concatenate([data[i] for i in pick])
-            p, at, x = net.pooled(symbols)
+            p, at = net.pooled(symbols)
             mean = np.add.reduceat(p, first, axis=0) / sizes[:, None]
             top = np.maximum.reduceat(p, first, axis=0)
             h = np.concatenate([mean, top], axis=1)
@@ -161,10 +162,10 @@ def train_net(data: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate:
             gp = grad_h[who, :FILTERS] / sizes[who][:, None] + grad_h[who, FILTERS:] * is_top
             gp = np.where(p > 0, gp, 0).astype(np.float32)
             # only the place of the maximum gets a gradient
-            chosen = np.take_along_axis(x, at[:, :, None], axis=1)  # (chunks, FILTERS, WIDTH * EMBED)
+            sym = symbols[np.arange(len(symbols))[:, None, None], at[:, :, None] + np.arange(WIDTH)]
+            chosen = net.embed[sym].reshape(len(symbols), FILTERS, WIDTH * EMBED)
             g_filters = np.einsum("cfk,cf->kf", chosen, gp)
             g_x = gp[:, :, None] * net.filters.T[None]
-            sym = symbols[np.arange(len(symbols))[:, None, None], (at * STRIDE)[:, :, None] + np.arange(WIDTH)]
             g_embed = np.zeros_like(net.embed)
             flat = g_x.reshape(-1, EMBED)
             for d in range(EMBED):
@@ -180,24 +181,21 @@ def train_net(data: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, bound: int = SAMPLE) -> ByteNet:
-    """Only evenly spaced chunks of at most `bound` texts reach the driver, so their size is
-    bounded by bound * TRAIN_CHUNKS * CHUNK bytes."""
-    rows = training_rows(docs, labels, "quality", mod, held, bound).select("y", "text").mapInArrow(_train_chunks, "y int, chunks binary").collect()
-    rows.sort(key=lambda r: (r.chunks, r.y))  # the same net whatever order the rows came in
+def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, bound: int = SAMPLE, most_bytes: int = TRAIN_BYTES) -> ByteNet:
+    """Whole texts of at most `bound` rows and `most_bytes` bytes reach the driver."""
+    chosen = cut(training_rows(docs, labels, "quality", mod, held, bound).select(
+        F.xxhash64("doc_id").alias("h"), "y", F.encode("text", "utf-8").alias("data")), "quality-sample")
+    so_far = F.sum(F.octet_length("data")).over(Window.orderBy("h", "data"))  # of a bounded number of rows
+    rows = chosen.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes).select("y", "data").collect()
+    drop(chosen)
+    rows.sort(key=lambda r: (r.data, r.y))  # the same net whatever order the rows came in
     y = np.array([r.y for r in rows], float)
     if len(y) == 0 or y.min() == y.max():
         net = ByteNet.new()
         net.out[:] = 0
         net.shift[0] = 0.0 if len(y) == 0 else (3.0 if y.max() else -3.0)
         return net
-    return train_net([np.frombuffer(r.chunks, np.int16).reshape(-1, CHUNK) for r in rows], y)
-
-
-def _train_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [chunks_of((t.as_py() or "").encode("utf-8", "surrogatepass"), TRAIN_CHUNKS).tobytes() for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["y", "chunks"])
+    return train_net([chunks_of(bytes(r.data)) for r in rows], y)
 
 
 def _score_rows(shared):

@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (local tests) a folder of our own is made and
-    recorded in the session.
+    Where none is named, a local session (tests) gets a temporary folder of its own, which is
+    recorded in the session; on a cluster that folder would not be shared, so it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("lodestream.shared.dir", None)
         if not path:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             path = "file://" + tempfile.mkdtemp(prefix="lodestream-")
             spark.conf.set("lodestream.shared.dir", path)
     return path.rstrip("/")
