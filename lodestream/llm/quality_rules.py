@@ -125,55 +125,86 @@ def with_votes(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("votes", votes)
 
 
-def posterior(votes: Column, prior: float, accuracy: list[float]) -> Column:
+@dataclass(frozen=True)
+class Fit:
+    """Share of good documents; of each rule, the chance that it votes good on a good document
+    and bad on a bad one, when it votes."""
+
+    prior: float
+    good: tuple[float, ...]
+    bad: tuple[float, ...]
+
+
+def posterior(votes: Column, fit: Fit) -> Column:
     """P(good | votes) under independent rules: an abstaining rule says nothing."""
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for j, a in enumerate(accuracy):
-        v, weight = F.substring(votes, j + 1, 1), math.log(a / (1 - a))
-        odds = odds + F.when(v == "g", weight).when(v == "b", -weight).otherwise(0.0)
+    odds = F.lit(math.log(fit.prior / (1 - fit.prior)))
+    for j, (g, b) in enumerate(zip(fit.good, fit.bad, strict=True)):
+        v = F.substring(votes, j + 1, 1)
+        odds = odds + F.when(v == "g", math.log(g / (1 - b))).when(v == "b", math.log((1 - g) / b)).otherwise(0.0)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def fit_rules(patterns: DataFrame, m: int, rounds: int = 25, smooth: float = 2.0, floor: float = 0.6,
-              ceiling: float = 0.97) -> tuple[float, list[float]]:
-    """Expectation-maximisation over the table of vote patterns (votes, n): the share of good
-    documents and each rule's accuracy, the chance that its vote is right when it votes.
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Each round is one aggregation of that table. Accuracies stay within [floor, ceiling]: a
-    rule is never believed to be worse than chance (which also fixes which class is which).
+
+def fit_rules(patterns: DataFrame, m: int, rounds: int = 40, smooth: float = 2.0, floor: float = 0.6,
+              ceiling: float = 0.97, edge: float = 0.02) -> Fit:
+    """Expectation-maximisation over the table of vote patterns (votes, n), of at most 3^m rows:
+    all rounds run inside one expression over the patterns as an array, so fitting is one job.
+
+    Accuracies start at 0.9, draw `smooth` votes of that accuracy and stay within [floor,
+    ceiling]: a rule is never believed to be worse than chance (which also fixes which class is
+    which) nor to be infallible. The share of good documents stays `edge` away from 0 and 1,
+    where one class would have no documents left to fit its accuracies.
     """
-    prior, accuracy = 0.8, [0.9] * m
-    for _ in range(rounds):
-        p = patterns.withColumn("p", posterior(F.col("votes"), prior, accuracy))
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good")]
-        for j in range(m):
-            v = F.substring("votes", j + 1, 1)
-            right = F.when(v == "g", F.col("p")).when(v == "b", 1 - F.col("p"))
-            sums += [
-                F.coalesce(F.sum(F.col("n") * right), F.lit(0.0)).alias(f"right{j}"),
-                F.coalesce(F.sum(F.when(v != "-", F.col("n"))), F.lit(0)).alias(f"votes{j}"),
-            ]
-        row = p.agg(*sums).first()
-        if not row.n:
-            break
-        fitted = [min(ceiling, max(floor, (row[f"right{j}"] + 0.9 * smooth) / (row[f"votes{j}"] + smooth))) for j in range(m)]
-        share = min(0.9, max(0.5, row.good / row.n))
-        moved = max(abs(a - b) for a, b in zip([prior, *accuracy], [share, *fitted], strict=True))
-        prior, accuracy = share, fitted
-        if moved < 1e-4:
-            break
-    return prior, accuracy
+    rules = F.sequence(F.lit(0), F.lit(m - 1))
+
+    def round_(state: Column, table: Column) -> Column:
+        log_good = F.transform(rules, lambda j: F.log(F.get(state["good"], j) / (1 - F.get(state["bad"], j))))
+        log_bad = F.transform(rules, lambda j: F.log((1 - F.get(state["good"], j)) / F.get(state["bad"], j)))
+        prior = F.log(state["prior"] / (1 - state["prior"]))
+
+        def judged(words: Column) -> Column:
+            def one(x: Column) -> Column:
+                odds = F.aggregate(rules, words["prior"], lambda a, j: a + F.when(F.get(x["v"], j) == 1, F.get(words["g"], j)).when(
+                    F.get(x["v"], j) == -1, F.get(words["b"], j)).otherwise(0.0))
+                return F.struct(x["v"].alias("v"), x["n"].alias("n"), (x["n"] / (1 + F.exp(-odds))).alias("good"))
+
+            return F.transform(table, one)
+
+        def sums(seen: Column) -> Column:
+            def of(j: Column, vote: int, weight) -> Column:
+                both = F.aggregate(seen, F.struct(F.lit(0.9 * smooth).alias("right"), F.lit(smooth).alias("all")), lambda a, x: F.struct(
+                    (a["right"] + F.when(F.get(x["v"], j) == vote, weight(x)).otherwise(0.0)).alias("right"),
+                    (a["all"] + F.when(F.get(x["v"], j) != 0, weight(x)).otherwise(0.0)).alias("all")))
+                return _let(both, lambda t: F.least(F.lit(ceiling), F.greatest(F.lit(floor), t["right"] / t["all"])))
+
+            total = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x["n"])
+            good = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x["good"])
+            return F.struct(
+                F.least(F.lit(1 - edge), F.greatest(F.lit(edge), good / total)).alias("prior"),
+                F.transform(rules, lambda j: of(j, 1, lambda x: x["good"])).alias("good"),
+                F.transform(rules, lambda j: of(j, -1, lambda x: x["n"] - x["good"])).alias("bad"))
+
+        return _let(F.struct(prior.alias("prior"), log_good.alias("g"), log_bad.alias("b")), lambda words: _let(judged(words), sums))
+
+    votes = F.transform(rules, lambda j: F.when(F.substr("votes", j + 1, F.lit(1)) == "g", 1).when(F.substr("votes", j + 1, F.lit(1)) == "b", -1).otherwise(0))
+    start = F.struct(F.lit(0.8).alias("prior"), F.array_repeat(F.lit(0.9), m).alias("good"), F.array_repeat(F.lit(0.9), m).alias("bad"))
+    table = patterns.select(F.struct(votes.alias("v"), F.col("n").cast("double").alias("n")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("t"))
+    fitted = F.when(F.size("t") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda state, _: round_(state, F.col("t")))).otherwise(start)
+    row = table.select(fitted.alias("fit")).first().fit
+    return Fit(row.prior, tuple(row.good), tuple(row.bad))
 
 
 def quality_verdicts(docs: DataFrame, threshold: float = 0.5, rules=RULES) -> DataFrame:
     """doc_id, the counts, base_failed, p_good and kept of every row."""
     seen = with_votes(with_word_counts(docs.select("doc_id", "text")), rules)
     seen = cut(seen.drop("text"), "quality")
-    patterns = seen.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1).cache()
-    prior, accuracy = fit_rules(patterns, len(rules))
-    patterns.unpersist()
+    fit = fit_rules(seen.groupBy("votes").agg(F.count("*").alias("n")), len(rules))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = seen.withColumns({"base_failed": failed, "p_good": posterior(F.col("votes"), prior, accuracy)})
+    out = seen.withColumns({"base_failed": failed, "p_good": posterior(F.col("votes"), fit)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
@@ -189,8 +220,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Whatever columns docs has come back as they are."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
     counted = cut(with_votes(with_word_counts(packed)).select("__doc", "n_words", "n_repeat_words", "votes"), "quality")
-    patterns = cut(counted.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "votes")
-    prior, accuracy = fit_rules(patterns, len(RULES))
+    fit = fit_rules(counted.groupBy("votes").agg(F.count("*").alias("n")), len(RULES))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = counted.filter(~failed & (posterior(F.col("votes"), prior, accuracy) >= 0.5))
+    kept = counted.filter(~failed & (posterior(F.col("votes"), fit) >= 0.5))
     return kept.select("__doc.*")
