@@ -71,20 +71,94 @@ def test_simhash_links(spark):
     assert sorted(x.doc_id for x in kept.collect()) == [0, 1, 3]
 
 
-def test_decontamination(spark):
+def _brute_hits(text, items, window=13):
+    """Words, words in any window of the items, ids of items hit, longest common run of words."""
+    def cut_up(t):
+        return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+
+    w, hit, ids, longest = cut_up(text), set(), set(), 0
+    for item, t in items:
+        x = cut_up(t)
+        n = min(window, len(x))
+        for i in range(len(w)):
+            k = max((len(x) and next((k for k in range(min(len(w) - i, len(x) - j), -1, -1) if w[i: i + k] == x[j: j + k]), 0)) for j in range(len(x))) if x else 0
+            if n and any(w[i: i + n] == x[j: j + n] for j in range(len(x) - n + 1)):
+                hit |= set(range(i, i + n))
+                ids |= {str(item)} if item is not None else set()
+                longest = max(longest, k)
+    return len(w), len(hit), sorted(ids), longest
+
+
+def test_decontamination(spark, tmp_path, monkeypatch):
     from lodestream.llm import decontaminate as d
 
-    a, b = words(30, 7), words(5, 8)
-    texts = [*ODD, "zz " + a.upper() + " yy", b, " ".join(a.split()[:12]), " ".join(a.split()[:14]) + " q " + b]
-    bench = spark.createDataFrame([(1, a), (2, b), (3, None), (4, "...")], "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in d.contamination(docs(spark, texts), bench).collect()}
-    n = len(ODD)
-    assert got[n][1:] == (30, ["1"]) and got[n + 1][1:] == (5, ["2"]) and got[n + 2][1:] == (0, []) and got[n + 3][1:] == (19, ["1", "2"])
-    assert got[0] == (0, 0, [])
-    united = {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in d._united(docs(spark, texts), bench, 13).collect()}
-    assert united == got
-    longest = {(r.doc_id, r.item_id, r.start_word): r.n_words for r in d.matches(docs(spark, texts), bench).collect()}
-    assert longest[n, "1", 1] == 30
+    a, b, c = words(30, 7), words(5, 8), words(20, 77)
+    long = words(900, 31) + " " + " ".join(a.split()[5:19]) + " " + words(500, 32)
+    texts = [*(t for t in ODD if len(t or "") < 2000), "zz " + a.upper() + " yy", b, " ".join(a.split()[:12]), " ".join(a.split()[:14]) + " q " + b, c, long,
+             words(400, 33) + " " + b, b + " " + words(90, 35)]
+    items = [(1, a), (2, b), (3, None), (4, "..."), (None, c), (5, a)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    brute = {i: _brute_hits(t, items) for i, t in enumerate(texts)}
+    table = docs(spark, texts)
+
+    def found():
+        return {r.doc_id: (r.n_words, r.n_hit, list(r.items), r.longest_match) for r in d.contamination(table, bench).collect()}
+
+    def kept():
+        return {r.doc_id for r in d.keep_clean(spark, table, str(tmp_path)).collect()}
+
+    clean = {i for i, (n, h, _, k) in brute.items() if not (k >= 13 or h and 20 * h >= n)}
+    assert len(texts) - 3 not in clean and len(texts) - 2 in clean and len(texts) - 1 not in clean
+    assert found() == brute and kept() == clean
+    longest = {(r.doc_id, r.item_id, r.start_word): r.n_words for r in d.matches(table, bench).collect()}
+    assert longest[texts.index("zz " + a.upper() + " yy"), "1", 1] == 30
+    monkeypatch.setattr(d, "BLOCK_WORDS", 25)  # several blocks
+    assert len(list(d._blocks(bench, 13))) == 3
+    assert found() == brute and kept() == clean
+
+
+def test_rules_are_fitted_as_by_a_plain_loop(spark):
+    from lodestream.llm.quality_rules import Fit, fit_rules, posterior
+
+    r = np.random.default_rng(1)
+    for share in (0.3, 0.9):
+        good = r.random(4000) < share
+        votes = []
+        for g in good:
+            right = r.random(4) < (0.85, 0.7, 0.9, 0.8)
+            votes.append("".join("-" if r.random() < 0.3 else "gb"[int(x != g)] for x in right))
+        count = collections.Counter(votes)
+        fit = fit_rules(spark.createDataFrame(sorted(count.items()), "votes string, n long"), 4)
+        prior, acc = 0.8, np.full((2, 4), 0.9)
+        keys = sorted(count)
+        v, n = np.array([[{"g": 1, "b": -1, "-": 0}[c] for c in k] for k in keys]), np.array([count[k] for k in keys], float)
+        for _ in range(40):
+            w = np.where(v == 1, np.log(acc[0] / (1 - acc[1])), np.where(v == -1, np.log((1 - acc[0]) / acc[1]), 0)).sum(1)
+            p = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + w)))
+            prior = min(0.98, max(0.02, (n * p).sum() / n.sum()))
+            for k, weight in enumerate((n * p, n * (1 - p))):
+                acc[k] = np.clip((1.8 + (weight[:, None] * (v == (1, -1)[k])).sum(0)) / (2 + (weight[:, None] * (v != 0)).sum(0)), 0.6, 0.97)
+        assert np.allclose([fit.prior, *fit.good, *fit.bad], [prior, *acc[0], *acc[1]], atol=1e-6)
+        assert abs(fit.prior - share) < 0.06
+        got = {x.votes: x.p for x in spark.createDataFrame([(k,) for k in keys], "votes string").select("votes", posterior(F.col("votes"), fit).alias("p")).collect()}
+        assert np.mean([(got[k] >= 0.5) == g for k, g in zip(votes, good)]) > 0.9
+    assert fit_rules(spark.createDataFrame([], "votes string, n long"), 2) == Fit(0.8, (0.9, 0.9), (0.9, 0.9))
+
+
+def test_fingerprints_by_the_definition(spark):
+    import xxhash
+    from lodestream.llm.simhash import fingerprint, keep_one
+
+    for t in [*ODD, "A  b\tC d É", "one two", "one two three", "x " * 70_000]:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        grams = [" ".join(w[i: i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        assert fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    a, b = words(80, 1), words(80, 2)
+    rows = [(5, a), (5, b), (7, a), (None, b), (None, words(80, 3)), (9, words(80, 4)), (9, words(80, 4))]
+    kept = keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([rows[0], rows[1], rows[4], rows[5]], key=repr)
 
 
 def test_pii(spark):
@@ -266,6 +340,24 @@ def test_scores_on_separable_labels(spark):
     assert m.run(list("tiw")) == ["i@"] and m.run(list("nwi")) == ["i-"] and m.run(list("rwwi")) == ['i"']
 
 
+def test_convolution_by_the_definition():
+    from lodestream.llm.classifier import CHUNK, FILTERS, PAD, WIDTH, ByteNet, chunk_starts, chunks_of
+
+    net = ByteNet.new(3)
+    net.shift[0] = 0.2
+    texts = [b"", b"abc", words(40, 1).encode(), words(900, 2).encode()]
+    for t, score in zip(texts, net.score_many(texts)):
+        seen = []
+        for s in chunk_starts(len(t)).tolist():
+            symbols = [*t[s: s + CHUNK], *[PAD] * (CHUNK - len(t[s: s + CHUNK]))]
+            e = net.embed[symbols]
+            seen.append([max(0.0, max(float(e[i: i + WIDTH].ravel() @ net.filters[:, f]) + net.bias[f] for i in range(CHUNK - WIDTH + 1))) for f in range(0, FILTERS, 7)])
+        seen = np.array(seen)
+        assert np.allclose(net.respond(chunks_of(t))[:, ::7], seen, atol=1e-4) and np.allclose(net.pooled(chunks_of(t))[0][:, ::7], seen, atol=1e-4)
+        p = net.respond(chunks_of(t))
+        assert abs(score - 1 / (1 + np.exp(-(np.concatenate([p.mean(0), p.max(0)]) @ net.out + 0.2)))) < 1e-5
+
+
 def test_chunks_cover_all():
     from lodestream.llm.classifier import CHUNK, chunk_starts
 
