@@ -7,6 +7,7 @@ in lower case. A hyphenated token is followed by its parts at the same position.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,44 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = "[a-z0-9]+(?:['-][a-z0-9]+)*"
 SNIPPET_WINDOW = 16
 
-#: Fixed: character references of the markup, in the order they are decoded (amp last).
-ENTITIES = (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&"))
 _BREAK = "\u0001"
+#: Character references by name, from the standard library's table: those that end in a
+#: semicolon, and the few that need none, which other letters may follow.
+_NAMED = {k: v for k, v in html5.items() if k.endswith(";")}
+_BARE = {k: v for k, v in html5.items() if not k.endswith(";")}
+#: Numbers that HTML reads as Windows-1252.
+_WESTERN = {str(n): bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+_REFERENCE = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+
+
+def _constant(table: dict[str, str]) -> Column:
+    """A map as one constant of the plan."""
+    return F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in table.items())), F.lit("\u0001"), F.lit("\u0002"))
+
+
+def _decoded(reference: Column) -> Column:
+    """The text of one reference of _REFERENCE; an unknown name stays as it is."""
+    digits = F.regexp_extract(reference, "^&#[xX]?([0-9a-fA-F]+)", 1)
+    number = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("decimal(38,0)")
+    odd = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number.cast("bigint")), 8, "0")), "UTF-32")
+    numeric = F.when(odd, "\ufffd").when(number.between(128, 159), F.try_element_at(_constant(_WESTERN), number.cast("string"))).otherwise(char)
+    name = F.substr(reference, F.lit(2))
+    starts = F.filter(F.transform(F.sequence(F.lit(0), F.length(name) - 1), lambda i: F.left(name, F.length(name) - i)),
+                      lambda x: F.try_element_at(_constant(_BARE), x).isNotNull())
+    own = F.get(starts, F.lit(0))
+    named = F.coalesce(
+        F.try_element_at(_constant(_NAMED), name),
+        F.concat(F.try_element_at(_constant(_BARE), own), F.substr(name, F.length(own) + 1)), reference)
+    return F.when(F.startswith(reference, F.lit("&#")), numeric).when(reference == "&amp;", "&").otherwise(named)
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded, once."""
+    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    rest = F.split(text, _REFERENCE, -1)
+    joined = F.array_join(F.zip_with(rest, found, lambda t, r: F.concat(t, F.coalesce(_decoded(r), F.lit("")))), "")
+    return F.when(text.rlike(_REFERENCE), joined).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
@@ -25,10 +61,7 @@ def html_to_text(html: Column) -> Column:
     x = F.regexp_replace(html, r"(?is)<!--.*?-->", _BREAK)
     x = F.regexp_replace(x, r"(?is)<(script|style|noscript)\b[^>]*>.*?(</\1\s*>|\z)", _BREAK)
     x = F.regexp_replace(x, r"(?s)<[/!?a-zA-Z][^>]*>", _BREAK)
-    x = F.regexp_replace(x, "&(?:apos;|#0*39;?|#[xX]0*27;?)", "'")
-    for name, char in ENTITIES:
-        x = F.regexp_replace(x, f"&{name};?", char)
-    nodes = F.transform(F.split(x, _BREAK), lambda t: F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    nodes = F.transform(F.split(unescaped(x), _BREAK), lambda t: F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     return F.array_join(F.filter(nodes, lambda t: t != ""), " ")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import content_hash, html_to_text, token_rows
+from lodestream.sources.scratch import written
 
 from .indexing import SearchIndex, length_of, meta_of, postings_of, terms_of, with_ids
 
@@ -41,7 +42,7 @@ def refresh(index: SearchIndex, pages: DataFrame, order: str = "page_order") ->
     twice = pages.groupBy("url").count().filter("count > 1").select("url").head(1)
     if twice:
         raise ValueError(f"Page '{twice[0].url}' is already indexed")
-    seen = classify(pages, index.documents).persist()
+    seen = written(classify(pages, index.documents), "seen")
     counts = {r.status: r["count"] for r in seen.groupBy("status").count().collect()}
     fresh = with_ids(seen.filter("status = 'new'").drop("document_id"), order, next_number(index.documents))
     todo = seen.filter("status = 'reindexed'").select("document_id", "url", "html", "content_hash").unionByName(

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import content_hash, html_to_text, token_rows, tokens
+from lodestream.sources.scratch import written
 
 DOCUMENTS = "document_id string, url string, length int, text string, content_hash string"
 POSTINGS = "term string, document_id string, tf int, positions array<int>"
 TERMS = "term string, df bigint"
 META = "page_count bigint, token_count bigint"
+TOTALS = "documents bigint, tokens bigint"
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,12 @@ class SearchIndex:
     postings: DataFrame
     terms: DataFrame
     meta: DataFrame
+    #: (documents, tokens) of the documents, one row; counted anew where they are not stored
+    totals: DataFrame | None = None
+
+    @property
+    def corpus(self) -> DataFrame:
+        return self.totals if self.totals is not None else totals_of(self.documents)
 
     @property
     def spark(self) -> SparkSession:
@@ -53,6 +61,10 @@ def meta_of(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("page_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("token_count"))
 
 
+def totals_of(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count("*").alias("documents"), F.sum("length").cast("bigint").alias("tokens"))
+
+
 def length_of(text: Column) -> Column:
     """Tokens of a text, parts of hyphenated ones included."""
     return F.size(tokens(text)).cast("int")
@@ -83,21 +95,27 @@ def index_tokens(docs: DataFrame) -> SearchIndex:
     return SearchIndex(documents, postings, terms_of(postings), meta_of(documents))
 
 
-def with_ids(pages: DataFrame, order: str, start: int = 1) -> DataFrame:
-    """Adds document_id, doc1, doc2, ... by the order column. Numbers come from counts of
-    partitions of the sorted rows, so that no task holds all of them."""
-    spark = pages.sparkSession
-    ordered = pages.orderBy(order).withColumn("__at", F.monotonically_increasing_id())
+def numbered(ordered: DataFrame, name: str, start: int = 1) -> DataFrame:
+    """Adds the place of each row of a sorted table. Places come from counts of the sorted
+    partitions, so that no task holds all rows; the sorted rows are written out first, since a
+    second sort might deal them out otherwise."""
+    spark = ordered.sparkSession
+    rows = written(ordered.withColumn("__at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("__at", 33)
-    sizes = {r.p: r.n for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a partition
+    sizes = {r.p: r.n for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a partition
     base, total = [], start
     for p in sorted(sizes):
         base.append((int(p), total))
         total += sizes[p]
-    starts = spark.createDataFrame(base or [(0, start)], "p bigint, base bigint")
-    rows = ordered.join(F.broadcast(starts), part == F.col("p"))
-    number = F.col("base") + F.col("__at").bitwiseAND((1 << 33) - 1)
-    return rows.select(F.concat(F.lit("doc"), number.cast("string")).alias("document_id"), *pages.columns)
+    starts = spark.createDataFrame(base or [(0, start)], "__part bigint, __base bigint")
+    number = F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(starts), part == F.col("__part")).select(*ordered.columns, number.alias(name))
+
+
+def with_ids(pages: DataFrame, order: str, start: int = 1) -> DataFrame:
+    """Adds document_id, doc1, doc2, ... by the order column."""
+    rows = numbered(pages.orderBy(order), "__number", start)
+    return rows.select(F.concat(F.lit("doc"), F.col("__number").cast("string")).alias("document_id"), *pages.columns)
 
 
 def index_pages(pages: DataFrame, order: str = "page_order", validate: bool = True) -> SearchIndex:

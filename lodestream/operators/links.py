@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.sources.scratch import written
+
 
 class _Anchors(HTMLParser):
     def __init__(self):
@@ -98,7 +100,7 @@ class CrawlReport:
 
 def crawl_table(pages: DataFrame, start_url: str, domain: str, max_pages: int | None = None) -> tuple[DataFrame, CrawlReport]:
     """Breadth-first over pages(url, html[, status_code]): each level is one join of the
-    frontier with the pages. A url that the table lacks is a failed fetch. Order within a
+    frontier with the pages, written out, so that plans do not grow with the depth. A url that the table lacks is a failed fetch. Order within a
     level is that of the parents, then of the links. Returns pages with page_order."""
     spark = pages.sparkSession
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
@@ -107,7 +109,7 @@ def crawl_table(pages: DataFrame, start_url: str, domain: str, max_pages: int |
     seen, crawled = frontier.select("url"), None
     discovered, visited, done, failed, base = 1, 0, 0, 0, 0
     while max_pages is None or done < max_pages:
-        level = frontier.join(store, "url", "left").persist()
+        level = written(frontier.join(store, "url", "left"), "level")
         good = level.filter("html is not null")
         if max_pages is not None:
             last = good.select("ord").orderBy("ord").limit(max_pages - done).agg(F.max("ord").alias("m"), F.count("*").alias("n")).first()
@@ -123,12 +125,12 @@ def crawl_table(pages: DataFrame, start_url: str, domain: str, max_pages: int |
         base += 1 << 50
         links = link_rows(good, domain).join(good.select(F.col("url").alias("src_url"), "ord"), "src_url")
         fresh = links.groupBy("url").agg(F.min(F.struct("ord", "pos")).alias("k")).join(seen, "url", "left_anti")
-        frontier = fresh.orderBy("k").select("url", F.monotonically_increasing_id().alias("ord")).persist()
+        frontier = written(fresh.orderBy("k").select("url", F.monotonically_increasing_id().alias("ord")), "frontier")
         found = frontier.count()
         if not found:
             break
         discovered += found
-        seen = seen.unionByName(frontier.select("url"))
+        seen = written(seen.unionByName(frontier.select("url")), "seen")
     if crawled is None:
         crawled = store.limit(0).select(F.lit(0).cast("bigint").alias("page_order"), "url", "html", "status_code")
     return crawled, CrawlReport(discovered, visited, done, failed)

@@ -27,13 +27,14 @@ def _contains_phrase(hits: Column, places: Sequence[int]) -> Column:
     if len(at) == 1:
         return F.size(at[0]) > 0
 
-    def starts(p):
-        out = F.array_contains(at[1], p + 1)
-        for k in range(2, len(at)):
-            out = out & F.array_contains(at[k], p + k)
-        return out
+    def begins(k: int) -> Column:
+        """Where the phrase would begin by its k-th word."""
+        return F.transform(at[k], lambda p: p - k)
 
-    return F.exists(at[0], starts)
+    starts = at[0]
+    for k in range(1, len(at)):
+        starts = F.array_intersect(starts, begins(k))
+    return F.size(starts) > 0
 
 
 def matching(index: SearchIndex, query: Query, positions: bool) -> DataFrame:
@@ -65,8 +66,8 @@ def find(index: SearchIndex, words: Sequence[str] | str, ranking_mode: str = "tf
     if query.empty:
         return index.spark.createDataFrame([], "document_id string, url string, term_frequencies map<string,int>, relevance_score double, snippet string")
     hits = matching(index, query, proximity_bonus)
-    counts = index.documents.agg(F.count("*").alias("__docs"), F.sum("length").alias("__len")).crossJoin(index.meta.select("page_count"))
-    counts = counts.select(F.greatest("__docs", "page_count").alias("__n"), F.try_divide("__len", "__docs").alias("__avg"))
+    counts = index.corpus.crossJoin(index.meta.select("page_count"))  # one row each
+    counts = counts.select(F.greatest("documents", "page_count").alias("__n"), F.try_divide("tokens", "documents").alias("__avg"))
     cols = ["document_id", "url", "length"] + ["text"] * snippets
     found = hits.join(index.documents.select(*cols), "document_id").crossJoin(F.broadcast(counts))  # one row
     h, n = F.col("hits"), F.col("__n")

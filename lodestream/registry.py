@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import content_hash, html_to_text, token_rows, with_snippet
-from lodestream.operators.incremental import classify
-from lodestream.operators.indexing import SearchIndex, index_texts, index_tokens, length_of, meta_of, postings_of, rebuild, terms_of
+from lodestream.operators.incremental import classify, refresh
+from lodestream.operators.indexing import SearchIndex, index_pages, index_texts, index_tokens, length_of, meta_of, numbered, postings_of, rebuild, terms_of
 from lodestream.operators.links import href_rows, link_rows
 from lodestream.operators.retrieval import find, lookup
 from lodestream.operators.suggest import closest
-from lodestream.plans.query import parse_query
+from lodestream.sources import parquet_index
+from lodestream.sources.scratch import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +24,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "text")
 
 
-def _index(spark: SparkSession, sf_dir: str, query: str | None = None) -> SearchIndex:
-    """An index of the documents; for a query, of its terms only."""
-    return index_texts(documents(spark, sf_dir), only=parse_query(query).scoring_terms if query else None)
+_STORED: dict[tuple[str, str], str] = {}
 
 
-def _found(query: str, **options):
+def stored_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The documents' index, built once a session and folder, and read from its files."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = parquet_index.save(index_texts(documents(spark, sf_dir)), new_folder(spark, "index"))
+    return parquet_index.load(spark, _STORED[key])
+
+
+def _found(query: str, ranked: bool = False, **options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = find(_index(spark, sf_dir, query), query, ordered=False, **options)
+        out = find(stored_index(spark, sf_dir), query, ordered=ranked, **options)
+        if ranked:
+            return numbered(out, "rank").select("rank", "document_id", F.round("relevance_score", 6).alias("score"))
         tf = F.array_join(F.transform(F.array_sort(F.map_entries("term_frequencies")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
         return out.select("document_id", "url", tf.alias("term_frequencies"), F.round("relevance_score", 6).alias("score"), "snippet")
 
@@ -74,7 +83,7 @@ def raw_token_index(spark, sf_dir):
 
 def rebuilt_terms(spark, sf_dir):
     """The index anew from stored texts, and from postings where the text is gone."""
-    full = _index(spark, sf_dir)
+    full = stored_index(spark, sf_dir)
     bare = full.documents.withColumn("text", F.when(F.col("document_id").cast("long") % 2 == 0, F.col("text")).otherwise(""))
     return rebuild(SearchIndex(bare, full.postings, full.terms, full.meta)).terms
 
@@ -87,10 +96,46 @@ def snippets(spark, sf_dir):
 
 
 def term_lookup(spark, sf_dir):
-    return lookup(_index(spark, sf_dir, "licensed"), "Licensed!").select(
+    return lookup(stored_index(spark, sf_dir), "Licensed!").select(
         "term", "df", "document_id", "url", F.col("tf").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
+def _posting_rows(index: SearchIndex) -> DataFrame:
+    return index.postings.select("term", "document_id", F.col("tf").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+def stored_postings(spark, sf_dir):
+    """What the index's files hold."""
+    return _posting_rows(stored_index(spark, sf_dir))
+
+
+def _crawled(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").alias("page_order"), "url", "html")
+
+
+def page_ids(spark, sf_dir):
+    """Ids of a first build, by crawl order."""
+    index = index_pages(_crawled(_table(spark, sf_dir, "pages")))
+    return index.documents.select("document_id", "url", F.col("length").cast("long").alias("length"), "content_hash")
+
+
+def _refreshed(spark, sf_dir) -> SearchIndex:
+    """Pages with page_id % 4 <> 3, and then a crawl without those of page_id % 4 = 0, in which
+    those of page_id % 4 = 1 have changed."""
+    pages = _table(spark, sf_dir, "pages")
+    old = index_pages(_crawled(pages.filter("page_id % 4 <> 3")))
+    changed = F.when(F.col("page_id") % 4 == 1, F.concat("html", F.lit("<p>anew</p>"))).otherwise(F.col("html"))
+    return refresh(old, _crawled(pages.filter("page_id % 4 <> 0").withColumn("html", changed)))[0]
+
+
+def refreshed_documents(spark, sf_dir):
+    return _refreshed(spark, sf_dir).documents.select("document_id", "url", F.col("length").cast("long").alias("length"), "content_hash")
+
+
+def refreshed_terms(spark, sf_dir):
+    return _refreshed(spark, sf_dir).terms
+
+
 MISSPELT = ["thatt", "whichh", "licensd", "zzzzzzzz", "the"]
 
 
@@ -135,6 +180,8 @@ QUERIES = {
     "token_positions": token_positions, "postings": postings, "term_stats": term_stats, "corpus_stats": corpus_stats,
     "doc_length": doc_length, "raw_token_index": raw_token_index, "rebuilt_terms": rebuilt_terms,
     "and_tfidf": _found(AND), "and_bm25": _found(AND, ranking_mode="bm25"),
+    "ranked_tfidf": _found("licensed", ranked=True), "ranked_bm25": _found("that", ranked=True, ranking_mode="bm25"), "stored_postings": stored_postings,
+    "page_ids": page_ids, "refreshed_documents": refreshed_documents, "refreshed_terms": refreshed_terms,
     "phrase_of_the": _found('"of the"'), "phrase_the_the": _found('"the the"', ranking_mode="bm25"),
     "term_plus_phrase": _found('that "of the"', ranking_mode="bm25"),
     "hyphen_exact": _found("by-nc"), "hyphen_split": _found("by nc"),
@@ -199,6 +246,12 @@ def _find_sql(terms: list[str], phrases: list[list[str]] = (), mode: str = "tfid
     from hits semi join good using (document_id){bonus}{prox}{join_snip} group by document_id"""
 
 
+def _ranked_sql(term: str, mode: str = "tfidf") -> str:
+    part = "tf * (ln((n + 1) / (df + 1)) + 1)" if mode == "tfidf" else "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))"
+    return f"""with {_TOKENS}, hits as (select document_id, {part} as score from post join df using (term) join len using (document_id) cross join stats where term = '{term}')
+    select row_number() over (order by score desc, 'doc/' || document_id, document_id) as rank, document_id, round(score, 6) as score from hits"""
+
+
 def _replaced(expr: str, steps) -> str:
     for pattern, to, flags in steps:
         expr = f"regexp_replace({expr}, '{pattern}', '{to}', '{flags}')"
@@ -215,6 +268,12 @@ _PAGE_TEXT = (
     + ", '\u0001'), lambda t: regexp_replace(t, '^[\\s ]+|[\\s ]+$', '', 'g')), lambda t: t <> ''), 'string_agg', ' ')"
 )
 
+_REFRESHED = f"""
+old as (select url, row_number() over (order by page_id) as number from pages where page_id % 4 <> 3),
+crawl as (select page_id, url, case when page_id % 4 = 1 then html || '<p>anew</p>' else html end as html from pages where page_id % 4 <> 0),
+pid as (select 'doc' || coalesce(number, (select max(number) from old) + sum(case when number is null then 1 else 0 end) over (order by page_id)) as doc_id, url, html from crawl left join old using (url)),
+documents as (select doc_id, coalesce({_PAGE_TEXT}, '') as text from pid)"""
+
 ORACLE_SQL = {
     "token_positions": f"with {_TOKENS} select document_id, count(*) as n_tokens, cast(sum(pos) as bigint) as sum_pos, count(distinct term) as n_terms, cast(max(pos) as bigint) as last_pos from tok group by document_id",
     "postings": f"with {_TOKENS} select term, document_id, tf, list_aggregate(positions, 'string_agg', ' ') as positions from post",
@@ -224,6 +283,11 @@ ORACLE_SQL = {
     "raw_token_index": "select term, count(*) as df from (select distinct doc_id, unnest(list_filter(string_split(lower(text), ' '), lambda t: t <> '')) as term from documents) group by term",
     "rebuilt_terms": f"with {_TOKENS} select term, df from df",
     "and_tfidf": _find_sql(["the", "and", "that"]), "and_bm25": _find_sql(["the", "and", "that"], mode="bm25"),
+    "ranked_tfidf": _ranked_sql("licensed"), "ranked_bm25": _ranked_sql("that", "bm25"),
+    "stored_postings": f"with {_TOKENS} select term, document_id, tf, list_aggregate(positions, 'string_agg', ' ') as positions from post",
+    "page_ids": f"with pid as (select 'doc' || row_number() over (order by page_id) as doc_id, url, html from pages), documents as (select doc_id, coalesce({_PAGE_TEXT}, '') as text from pid), {_TOKENS} select document_id, url, cast(length as bigint) as length, sha1(html) as content_hash from len join pid on doc_id = document_id",
+    "refreshed_documents": f"with {_REFRESHED}, {_TOKENS} select document_id, url, cast(length as bigint) as length, sha1(html) as content_hash from len join pid on doc_id = document_id",
+    "refreshed_terms": f"with {_REFRESHED}, {_TOKENS} select term, df from df",
     "phrase_of_the": _find_sql(["of", "the"], [["of", "the"]]), "phrase_the_the": _find_sql(["the"], [["the", "the"]], "bm25"),
     "term_plus_phrase": _find_sql(["that", "of", "the"], [["of", "the"]], "bm25"),
     "hyphen_exact": _find_sql(["by-nc"]), "hyphen_split": _find_sql(["by", "nc"]),

@@ -136,7 +136,9 @@ class Shell:
 
     def run(self, line: str) -> tuple[str, bool]:
         """The answer, and whether the shell ends."""
-        command, *args = line.strip().split() or [""]
+        if not line.strip():
+            raise ValueError("Error: command cannot be empty")
+        command, *args = line.split()
         command = command.lower()
         if command in ("help", "exit", "load") and args:
             raise ValueError(f"Error: '{command}' does not take arguments")
@@ -200,4 +202,6 @@ class Shell:
                 message, done = "\nExiting search shell.", True
             except ValueError as e:
                 message = str(e)
+            except Exception as e:  # the shell outlives whatever a command runs into
+                message = f"Error: unexpected failure: {e}"
             self.out(message)

@@ -5,17 +5,19 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from lodestream.operators.indexing import DOCUMENTS, META, POSTINGS, TERMS, SearchIndex
+from lodestream.operators.indexing import DOCUMENTS, META, POSTINGS, TERMS, TOTALS, SearchIndex, totals_of
 
 
 def save(index: SearchIndex, path: str, mode: str = "errorifexists") -> str:
     index.documents.write.mode(mode).parquet(f"{path}/documents")
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "document_id").write.mode(mode).parquet(f"{path}/postings")
+    # by term and document, so that a common term's postings are spread over tasks and files
+    index.postings.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode(mode).parquet(f"{path}/postings")
     index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
-    index.meta.write.mode(mode).parquet(f"{path}/meta")
+    index.meta.coalesce(1).write.mode(mode).parquet(f"{path}/meta")
+    totals_of(index.spark.read.schema(DOCUMENTS).parquet(f"{path}/documents")).write.mode(mode).parquet(f"{path}/totals")
     return path
 
 
 def load(spark: SparkSession, path: str) -> SearchIndex:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return SearchIndex(read("documents", DOCUMENTS), read("postings", POSTINGS), read("terms", TERMS), read("meta", META))
+    return SearchIndex(read("documents", DOCUMENTS), read("postings", POSTINGS), read("terms", TERMS), read("meta", META), read("totals", TOTALS))

@@ -1,14 +1,17 @@
 """Behaviour of the search engine on literal inputs; scores follow from the formulas."""
 
+import html
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import html_to_text, token_positions, tokens, with_snippet
-from lodestream.operators.incremental import refresh
-from lodestream.operators.indexing import index_pages, index_tokens, rebuild
-from lodestream.operators.links import crawl_table, internal_links
+from lodestream.benchmarking import benchmark, mean_seconds
+from lodestream.building import BuildSummary
+from lodestream.functions.text import html_to_text, token_positions, tokens, unescaped, with_snippet
+from lodestream.operators.incremental import RefreshCounts, refresh
+from lodestream.operators.indexing import index_pages, index_texts, index_tokens, numbered, rebuild
+from lodestream.operators.links import CrawlReport, crawl_table, internal_links
 from lodestream.operators.ranking import least_distance, with_bonus
 from lodestream.operators.retrieval import find, lookup
 from lodestream.operators.suggest import suggest_query, suggest_term
@@ -16,6 +19,7 @@ from lodestream.plans.query import parse_query
 from lodestream.shell import Shell, parse_find, parse_runs
 from lodestream.sources import json_index, parquet_index
 from lodestream.sources.fetch import FetchResult, PoliteRequester, crawl_site
+from lodestream.streaming.refresh import refresh_from_stream
 
 
 def one(spark, expr, value="x", kind="string"):
@@ -41,6 +45,13 @@ def test_html_to_text(spark):
     assert one(spark, html_to_text, html) == "Hello World & co©"
 
 
+def test_character_references(spark):
+    """As the standard library decodes them."""
+    for text in ("a &#8217; b &eacute; &eacute &notit; &notin; &amp;lt; &zzz; &; & x", "&#x1F600;&#0;&#xD800;&#128;&#99999999999;&copy2&AMP", "none"):
+        assert one(spark, unescaped, text) == html.unescape(text)
+    assert one(spark, html_to_text, "<p>it&#8217;s caf&eacute; &amp;lt;</p>") == "it’s café &lt;"
+
+
 def test_query_language():
     q = parse_query('foo"bar baz" "A b" "a B" don\'t ""')
     assert q.terms == ("foo", "bar", "baz", "don't") and q.phrases == (("a", "b"),)
@@ -112,6 +123,56 @@ def test_build_refresh_and_storage(spark, tmp_path):
         json_index.load(spark, tmp_path / "none.json")
 
 
+def test_places_in_sorted_order(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "v int").repartition(7)
+    assert [(r.v, r.n) for r in numbered(rows.orderBy("v"), "n").orderBy("n").collect()] == [(i, i + 1) for i in range(1000)]
+    assert numbered(rows.limit(0).orderBy("v"), "n").count() == 0
+
+
+def test_storage_takes_whole_numbers_only(spark, tmp_path):
+    for bad in (3.7, True, "5", None, float("inf")):
+        with pytest.raises(json_index.StorageError, match="meta.page_count' must be an integer"):
+            json_index.parse({"meta": {"page_count": bad}, "documents": {}, "terms": {}})
+    (tmp_path / "bad.json").write_bytes(b"\xff{")
+    with pytest.raises(json_index.StorageError, match="not valid JSON"):
+        json_index.load(spark, tmp_path / "bad.json")
+    with pytest.raises(json_index.StorageError, match="is a directory"):
+        json_index.load(spark, tmp_path)
+    with pytest.raises(ValueError, match="already indexed"):
+        index_texts(spark.createDataFrame([("a", "u", "x"), ("a", "v", "y")], "document_id string, url string, text string"), validate=True)
+
+
+def test_stored_index_answers_as_the_one_in_memory(spark, tmp_path):
+    a = corpus(spark, doc1="good friends make good times", doc2="the good end", doc3="friends of the good", doc4="none")
+    parquet_index.save(a, str(tmp_path / "p"))
+    b = parquet_index.load(spark, str(tmp_path / "p"))
+    assert b.corpus.first() == a.corpus.first() == (4, 13)
+    for query, options in (("good", {}), ("good friends", {"ranking_mode": "bm25"}), ('"the good"', {}), ("good friends", {"proximity_bonus": True})):
+        assert find(b, query, **options).collect() == find(a, query, **options).collect()
+
+
+def test_stream_of_crawls(spark, tmp_path):
+    crawls = [[(0, "u1", "<p>good</p>"), (1, "u2", "<p>old</p>")], [(0, "u2", "<p>new</p>"), (1, "u1", "<p>good</p>"), (2, "u3", "<p>more</p>")]]
+    for i, rows in enumerate(crawls):
+        spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        pages = spark.readStream.schema(PAGES).parquet(str(tmp_path / "in/*"))
+        refresh_from_stream(pages, str(tmp_path / "index"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = parquet_index.load(spark, str(tmp_path / "index/v1"))
+    assert {r.url: (r.document_id, r.text) for r in got.documents.collect()} == {"u1": ("doc1", "good"), "u2": ("doc2", "new"), "u3": ("doc3", "more")}
+    assert {r.term for r in got.terms.collect()} == {"good", "new", "more"}
+
+
+def test_benchmark_and_summary(spark):
+    ticks = iter(range(1000))
+    got = benchmark(corpus(spark, doc1="good friends", doc2="good"), 1, timer=lambda: float(next(ticks)))
+    assert list(got.queries) == ["tfidf_and", "bm25_and", "phrase_query", "proximity_query"] and got.page_count == 2 and got.token_count == 3
+    assert got.build_seconds == got.load_seconds == 1.0 and "- Unique terms: 2" in got.text() and "ratio (bm25/tfidf): 1.000x" in got.text()
+    with pytest.raises(ValueError, match="positive integer"):
+        mean_seconds(lambda: None, 0)
+    text = BuildSummary(CrawlReport(5, 4, 3, 1), RefreshCounts(1, 2, 0), 7, 9, 1.5).text()
+    assert text.startswith("Build complete.\nPages crawled: 3\n") and "Crawl success rate: 75.0%" in text and text.endswith("Duration: 1.50s")
+
+
 SITE = {
     "http://h/": '<a href="/page/2/">2</a><a href="/page/2/#top">2</a><a href="http://other/">x</a><a href="mailto:a@b">m</a><a href="http://sub.h/">s</a>',
     "http://h/page/2/": '<a href="/">back</a><a href="/missing">m</a>', "http://sub.h/": "sub",
@@ -147,6 +208,15 @@ def test_shell(spark, tmp_path):
     assert "Matches: 1" in shell.run("find --rank bm25 --snippets=on back")[0] and "[back]" in shell.run("find back --snippets on")[0]
     assert shell.run("exit") == ("Exiting search shell.", True)
     assert parse_runs(["--runs=3"]) == 3 and parse_find(["--rank=BM25", "a"]).ranking_mode == "bm25"
+    for line in ("", "  "):
+        with pytest.raises(ValueError, match="^Error: command cannot be empty$"):
+            shell.run(line)
+    said, lines = [], iter(["", "boom", "exit"])
+    looped = Shell(spark, out=said.append)
+    run = looped.run
+    looped.run = lambda line: 1 / 0 if line == "boom" else run(line)
+    looped.loop(lambda prompt: next(lines))
+    assert said[2:] == ["Error: command cannot be empty", "Error: unexpected failure: division by zero", "Exiting search shell."]
     for bad in ("find", "find --rank", "find --rank x a", "benchmark --runs 0", "build now", "help me", "what"):
         with pytest.raises(ValueError, match="Error"):
             shell.run(bad)
