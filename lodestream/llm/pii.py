@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction (operator 1), DataFrame functions only.
 
-Four base kinds (email, ip, card, phone) are found by expression; they are the seeds. The word
-before a seed is its lexical pattern. Identifier-like tokens that no expression covers are
-candidate instances. Pattern and instance scores are computed on the graph between them, in
-rounds: a pattern's confidence is the score of what follows it over all its occurrences in the
-corpus, an instance's score is the chance that one of its patterns is right. Candidates that
-follow a pattern of high confidence become spans of kind "id".
+Seeds are the spans of the four base kinds (email, ip, card, phone) and tokens of the shape of a
+key or secret (SECRET). Every other identifier-like token is a candidate instance. What stands
+around an instance gives its lexical patterns: the word before it; that word with what separates
+the two (quotes, colons, equals signs); and these with what follows, a separator and the next word.
+Pattern
+and instance scores are computed on the graph between them, in rounds: a pattern's confidence is
+the score of what it holds over all its occurrences in the corpus, an instance's score is the
+chance that one of its patterns is right, so that instances found by one pattern lend support to
+others. Candidates in a pattern of high confidence become spans of kind "id".
 
 Base spans stay whatever the method finds. A null or empty text has none; repeated rows get
 the same spans; extra columns are ignored; an empty table gives an empty result. Positions are
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, whole_text
+from .common import cut, drop, table, whole_text
 
 # The base expressions, written so that a failing run of characters is scanned once: the
 # look-behind (or \G, right after a match) forbids starts inside a run, whose outcome is that
@@ -32,10 +35,16 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _ID = "[A-Za-z0-9._%+@#/-]"
 CANDIDATE = rf"(?<!{_ID})(?=[A-Za-z._%+@#/-]*+[0-9]){_ID}{{4,}}+"
+#: Tokens that are seeds by their shape alone: hexadecimal keys, and keys with a fixed prefix.
+SECRET = r"^(?:(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}|(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{32,}|AKIA[A-Z0-9]{16}|gh[a-z]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9-]{20,})$"
 # Words end at white space and at what encloses or introduces a value; outer punctuation is not part of them.
 _BREAK = r"\s\"()\[\]{}<>=:|"
-_OUTER = ".,;:!?\"'()[]{}<>=|*#&%$"
-_LAST = rf"([^{_BREAK}]*[^\s.,;:!?\"'()\[\]{{}}<>=|*#&%$])[\s.,;:!?\"'()\[\]{{}}<>=|*#&%$]*$"
+_OUTER = r"\s.,;:!?\"'()\[\]{}<>=|*#&%$"
+_WORD = rf"[^{_BREAK}]*[^{_OUTER}]"
+_LAST = rf"({_WORD})([{_OUTER}]*)$"
+_NEXT = rf"^([{_OUTER}]*)({_WORD})"
+_TRIM = ".,;:!?\"'()[]{}<>=|*#&%$"
+_TOKEN = rf"{_WORD}[{_OUTER}]*"  # a word and what separates it from the next
 
 KINDS = ("email", "ip", "card", "phone")
 DISCOVERED = "id"
@@ -46,7 +55,7 @@ SPAN = "array<struct<k:int,s:int,e:int>>"
 # no span can hold, or after a space that follows a letter or the like (spans that hold spaces
 # hold none of those). A stretch without either is one segment.
 SEGMENT = 1 << 13
-BEFORE = 64  # characters that are searched for the word before a span
+BEFORE = 64  # characters that are searched for the word before a span, and for that after it
 _SEGMENTS = rf"(?s).{{1,{SEGMENT}}}+(?:.*?(?:[^A-Za-z0-9._%+@#/()\x20-]|(?<=[A-Za-z_%@#/])\x20)|.*)"
 
 
@@ -56,6 +65,7 @@ class Bootstrap:
     min_confidence: float = 0.5
     min_support: int = 3  # different instances, by score, that must follow a pattern
     min_digits: int = 4  # of a discovered identifier
+    buckets: int = 1 << 16  # of the table that sifts words before they are shuffled, which is broadcast
 
 
 def _digits(x: Column) -> Column:
@@ -144,20 +154,47 @@ def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         b["k"].alias("k"), (b["s"] + g["at"]).alias("s"), (b["e"] + g["at"]).alias("e")))))))
 
 
-def _before(g: Column, s: Column) -> Column:
-    """The word before position s of a segment, in lower case without outer punctuation, past
-    quotes, brackets, colons and equals signs."""
+def _lexical(word: Column, gap: Column, after_gap: Column, after: Column) -> Column:
+    """The patterns of what stands between word + gap and after_gap + after; empty ones say nothing."""
+    def sep(x: Column) -> Column:
+        return F.regexp_replace(x, r"\s+", " ")
+
+    word, after = F.ltrim(F.lower(word), F.lit(_TRIM)), F.ltrim(F.lower(after), F.lit(_TRIM))
+    return F.array(
+        F.when(word != "", F.concat(F.lit("w"), word)).otherwise(""),
+        F.when((word != "") & (F.trim(gap) != ""), F.concat(F.lit("l"), word, F.lit("\u0001"), sep(gap))).otherwise(""),
+        F.when((word != "") & (after != ""), F.concat(F.lit("b"), word, F.lit("\u0001"), sep(gap), F.lit("\u0001"), sep(after_gap), F.lit("\u0001"), after)).otherwise(""),
+    )
+
+
+def _around(g: Column, s: Column, e: Column) -> Column:
+    """The patterns of a span of a segment."""
     end = s + F.length(g["left"])
     left = F.substr(F.concat(g["left"], g["seg"]), F.greatest(end - (BEFORE - 1), F.lit(1)), F.least(end, F.lit(BEFORE)))
-    return _normal(F.regexp_extract(left, _LAST, 1))
+    right = F.substr(g["seg"], e + 1, F.lit(BEFORE))
+    return _lexical(F.regexp_extract(left, _LAST, 1), F.regexp_extract(left, _LAST, 2), F.regexp_extract(right, _NEXT, 1), F.regexp_extract(right, _NEXT, 2))
+
 
+def corpus_patterns(docs: DataFrame) -> DataFrame:
+    """p: a row for each pattern that the corpus's words would have if each were a span."""
+    listed = docs.select(F.regexp_extract_all(whole_text(), F.lit(_TOKEN), F.lit(0)).alias("all"))
+    def later(k: int) -> Column:
+        return F.slice("all", k + 1, F.size("all")).alias(f"t{k}")
 
-def _normal(word: Column) -> Column:
-    return F.btrim(F.lower(word), F.lit(_OUTER))
+    one = listed.select(F.explode(F.arrays_zip(F.col("all").alias("t0"), later(1), later(2))).alias("x")).select(
+        "x.t0", *[F.coalesce(f"x.t{k}", F.lit("")).alias(f"t{k}") for k in (1, 2)])
+
+    def word(t: str) -> Column:
+        return F.regexp_extract(t, f"^({_WORD})", 1)
+
+    def gap(t: str) -> Column:
+        return F.regexp_extract(t, f"([{_OUTER}]*)$", 1)
+
+    return one.select(F.explode(_lexical(word("t0"), gap("t0"), gap("t1"), word("t2"))).alias("p")).filter("p <> ''")
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
-    """Adds __p_cand: (s, e, p, m) of identifier-like tokens outside the base spans, and
+    """Adds __p_cand: (s, e, p, m), p its patterns, of identifier-like tokens outside the base spans, and
     __p_seed: (p, m) of the base spans."""
     def candidates(g: Column) -> Column:
         free = F.filter(
@@ -165,17 +202,17 @@ def with_candidates(df: DataFrame) -> DataFrame:
             lambda x: ~F.exists(g["base"], lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
         )
         return F.transform(free, lambda x: F.struct(
-            (x["s"] + g["at"]).alias("s"), (x["e"] + g["at"]).alias("e"), _before(g, x["s"]).alias("p"), x["m"].alias("m"),
+            (x["s"] + g["at"]).alias("s"), (x["e"] + g["at"]).alias("e"), _around(g, x["s"], x["e"]).alias("p"), x["m"].alias("m"),
         ))
 
     def seeds(g: Column) -> Column:
         return F.transform(g["base"], lambda b: F.struct(
-            _before(g, b["s"]).alias("p"), F.substr(g["seg"], b["s"] + 1, b["e"] - b["s"]).alias("m"),
+            _around(g, b["s"], b["e"]).alias("p"), F.substr(g["seg"], b["s"] + 1, b["e"] - b["s"]).alias("m"),
         ))
 
     return df.withColumns({
         "__p_cand": F.when(F.col("__p_t").rlike("[0-9]"), F.flatten(F.transform("__p_seg", candidates))).otherwise(
-            F.expr("cast(array() as array<struct<s:int,e:int,p:string,m:string>>)")),
+            F.expr("cast(array() as array<struct<s:int,e:int,p:array<string>,m:string>>)")),
         "__p_seed": F.flatten(F.transform("__p_seg", seeds)),
     })
 
@@ -183,35 +220,39 @@ def with_candidates(df: DataFrame) -> DataFrame:
 def learn_patterns(docs: DataFrame, found: DataFrame, how: Bootstrap) -> DataFrame:
     """Patterns of high confidence, with it: (p, confidence).
 
-    found holds __p_cand and __p_seed of each row. The counts of words are over the whole
-    corpus, summed before they are shuffled. A pattern whose followers could not reach the
-    confidence even if all of them were right is left out before the rounds start.
+    found holds __p_cand and __p_seed of each row. A pattern's occurrences are counted over the
+    whole corpus, summed before they are shuffled; those of patterns that cannot matter are
+    sifted out before that, by a table of at most how.buckets hashes. A pattern that could not
+    reach the confidence even if all that it holds were right is left out before the rounds.
     """
     edges = (
         found.select(F.explode("__p_seed").alias("x"), F.lit(1).alias("seed"))
         .select("x.p", "x.m", "seed")
         .union(
-            found.select(F.explode("__p_cand").alias("x")).select("x.p", "x.m", F.lit(0))
+            found.select(F.explode("__p_cand").alias("x")).select("x.p", "x.m", F.col("x.m").rlike(SECRET).cast("int").alias("seed"))
             .filter(_digits(F.col("m")) >= how.min_digits)
         )
-        .filter("p <> ''")
+        .select(F.explode("p").alias("p"), "m", "seed").filter("p <> ''")
         .groupBy("p", "m").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     )
     edges = cut(edges, "pii-edges")
-    hopeful = edges.groupBy("p").agg(F.sum("n").alias("most"), F.count("*").alias("kinds")).filter(F.col("kinds") >= how.min_support)
-    words = (
-        docs.select(F.explode(F.split(whole_text(), f"[{_BREAK}]+")).alias("w"))
-        .select(_normal(F.col("w")).alias("p")).filter("p <> ''")
-        .groupBy("p").agg(F.count("*").alias("total"))
-    )
-    hopeful = cut(
-        hopeful.join(words, "p").filter(F.col("most") >= how.min_confidence * F.col("total")).select("p", "total"),
+    hopeful = cut(edges.groupBy("p").agg(F.sum("n").alias("most"), F.count("*").alias("kinds")).filter(F.col("kinds") >= how.min_support).select("p", "most"), "pii-hopeful")
+    bucket = F.pmod(F.xxhash64("p"), F.lit(how.buckets))
+    sieve = hopeful.select(bucket.alias("b")).distinct()
+    words = corpus_patterns(docs).withColumn("b", bucket).join(F.broadcast(sieve), "b", "left_semi").groupBy("p").agg(F.count("*").alias("total"))
+    patterns = cut(
+        hopeful.join(words, "p", "left").withColumn("total", F.greatest("most", F.coalesce("total", F.lit(0))))
+        .filter(F.col("most") >= how.min_confidence * F.col("total")).select("p", "total"),
         "pii-patterns",
     )
+    drop(hopeful)
+    hopeful = patterns
     graph = cut(edges.join(hopeful, "p"), "pii-graph")
     score = graph.groupBy("m").agg(F.max("seed").cast("double").alias("score"))
     patterns = None
     for _ in range(how.rounds):
+        if patterns is not None:
+            drop(patterns)
         patterns = cut(
             graph.join(score, "m").groupBy("p").agg(
                 F.sum(F.col("n") * F.col("score")).alias("right"), F.max("total").alias("total"), F.sum("score").alias("support"))
@@ -220,17 +261,21 @@ def learn_patterns(docs: DataFrame, found: DataFrame, how: Bootstrap) -> DataFra
             "pii-confidence",
         )
         miss = F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))
-        score = cut(
+        previous, score = score, cut(
             graph.join(patterns, "p", "left").groupBy("m").agg(
                 F.when(F.max("seed") == 1, 1.0).otherwise(1 - F.exp(F.sum(miss))).alias("score")),
             "pii-score",
         )
+        drop(previous)
+    for done in (score, graph, hopeful, edges):
+        drop(done)
     return patterns.filter(F.col("confidence") >= how.min_confidence)
 
 
 def discover(found: DataFrame, patterns: DataFrame, key: list[str], how: Bootstrap) -> DataFrame:
     """key columns and __p_more, the spans of kind id."""
     one = found.select(*key, F.explode("__p_cand").alias("x")).select(*key, "x.*").filter(_digits(F.col("m")) >= how.min_digits)
+    one = one.select(*key, "s", "e", F.explode("p").alias("p"))
     return one.join(patterns.select("p"), "p").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(
         F.lit(len(KINDS)).alias("k"), F.col("s"), F.col("e")))).alias("__p_more"))
 
