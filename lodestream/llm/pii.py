@@ -175,22 +175,37 @@ def _around(g: Column, s: Column, e: Column) -> Column:
     return _lexical(F.regexp_extract(left, _LAST, 1), F.regexp_extract(left, _LAST, 2), F.regexp_extract(right, _NEXT, 1), F.regexp_extract(right, _NEXT, 2))
 
 
-def corpus_patterns(docs: DataFrame) -> DataFrame:
-    """p: a row for each pattern that the corpus's words would have if each were a span."""
+def _ends(token: Column) -> tuple[Column, Column]:
+    """The word of a _TOKEN, and what separates it from the next."""
+    word = F.rtrim(token, F.lit(_TRIM + " \t\n\u000b\f\r"))
+    return word, F.substr(token, F.length(word) + 1)
+
+
+def _word(p: Column) -> Column:
+    """The word before the span, which every pattern begins with after its kind."""
+    return F.substring_index(F.substr(p, F.lit(2)), "\u0001", 1)
+
+
+def corpus_patterns(docs: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """p: a row for each pattern that the corpus's words would have if each were a span. Only
+    words whose hash is that of one of `words` are followed up: at most `buckets` hashes, which
+    are broadcast."""
     listed = docs.select(F.regexp_extract_all(whole_text(), F.lit(_TOKEN), F.lit(0)).alias("all"))
+
     def later(k: int) -> Column:
         return F.slice("all", k + 1, F.size("all")).alias(f"t{k}")
 
     one = listed.select(F.explode(F.arrays_zip(F.col("all").alias("t0"), later(1), later(2))).alias("x")).select(
         "x.t0", *[F.coalesce(f"x.t{k}", F.lit("")).alias(f"t{k}") for k in (1, 2)])
+    word, gap = _ends(F.col("t0"))
+    one = one.select(word.alias("word"), "t0", "t1", "t2")
 
-    def word(t: str) -> Column:
-        return F.regexp_extract(t, f"^({_WORD})", 1)
-
-    def gap(t: str) -> Column:
-        return F.regexp_extract(t, f"([{_OUTER}]*)$", 1)
+    def bucket(w: Column) -> Column:
+        return F.pmod(F.xxhash64(F.ltrim(F.lower(w), F.lit(_TRIM))), F.lit(buckets))
 
-    return one.select(F.explode(_lexical(word("t0"), gap("t0"), gap("t1"), word("t2"))).alias("p")).filter("p <> ''")
+    sieve = words.select(bucket(F.col("word")).alias("b")).distinct()
+    one = one.withColumn("b", bucket(F.col("word"))).join(F.broadcast(sieve), "b", "left_semi")
+    return one.select(F.explode(_lexical(F.col("word"), gap, _ends(F.col("t1"))[1], _ends(F.col("t2"))[0])).alias("p")).filter("p <> ''")
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
@@ -237,9 +252,7 @@ def learn_patterns(docs: DataFrame, found: DataFrame, how: Bootstrap) -> DataFra
     )
     edges = cut(edges, "pii-edges")
     hopeful = cut(edges.groupBy("p").agg(F.sum("n").alias("most"), F.count("*").alias("kinds")).filter(F.col("kinds") >= how.min_support).select("p", "most"), "pii-hopeful")
-    bucket = F.pmod(F.xxhash64("p"), F.lit(how.buckets))
-    sieve = hopeful.select(bucket.alias("b")).distinct()
-    words = corpus_patterns(docs).withColumn("b", bucket).join(F.broadcast(sieve), "b", "left_semi").groupBy("p").agg(F.count("*").alias("total"))
+    words = corpus_patterns(docs, hopeful.select(_word(F.col("p")).alias("word")), how.buckets).groupBy("p").agg(F.count("*").alias("total"))
     patterns = cut(
         hopeful.join(words, "p", "left").withColumn("total", F.greatest("most", F.coalesce("total", F.lit(0))))
         .filter(F.col("most") >= how.min_confidence * F.col("total")).select("p", "total"),
