@@ -65,7 +65,7 @@ class Bootstrap:
     min_confidence: float = 0.5
     min_support: int = 3  # different instances, by score, that must follow a pattern
     min_digits: int = 4  # of a discovered identifier
-    buckets: int = 1 << 16  # of the table that sifts words before they are shuffled, which is broadcast
+    bits: int = 1 << 24  # of each table that sifts words or patterns before they are shuffled; broadcast, 64 bits a row
 
 
 def _digits(x: Column) -> Column:
@@ -186,10 +186,25 @@ def _word(p: Column) -> Column:
     return F.substring_index(F.substr(p, F.lit(2)), "\u0001", 1)
 
 
-def corpus_patterns(docs: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
-    """p: a row for each pattern that the corpus's words would have if each were a span. Only
-    words whose hash is that of one of `words` are followed up: at most `buckets` hashes, which
-    are broadcast."""
+def _bit(x: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(x), F.lit(bits))
+
+
+def _sifted(df: DataFrame, x: Column, wanted: DataFrame, bits: int) -> DataFrame:
+    """The rows of df whose x may be a value of wanted's one column: all that are, and those
+    others that share a bit with one. The table of bits is broadcast; it has at most bits / 64
+    rows of two longs, however many values there are."""
+    set_bits = wanted.select(_bit(F.col(wanted.columns[0]), bits).alias("__b"))
+    sieve = set_bits.groupBy(F.shiftright("__b", 6).alias("__row")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__b").bitwiseAND(63).cast("int"))).alias("__bits"))
+    return df.withColumn("__b", _bit(x, bits)).withColumn("__row", F.shiftright("__b", 6)).join(F.broadcast(sieve), "__row").filter(
+        F.bit_get("__bits", F.col("__b").bitwiseAND(63).cast("int")) == 1).drop("__b", "__row", "__bits")
+
+
+def corpus_patterns(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """p: a row for each pattern of `wanted` that the corpus's words would have if each were a
+    span (and for the few others that pass the tables of bits). Words are sifted by the word
+    before their patterns are made, and patterns again before they are counted."""
     listed = docs.select(F.regexp_extract_all(whole_text(), F.lit(_TOKEN), F.lit(0)).alias("all"))
 
     def later(k: int) -> Column:
@@ -199,13 +214,9 @@ def corpus_patterns(docs: DataFrame, words: DataFrame, buckets: int) -> DataFram
         "x.t0", *[F.coalesce(f"x.t{k}", F.lit("")).alias(f"t{k}") for k in (1, 2)])
     word, gap = _ends(F.col("t0"))
     one = one.select(word.alias("word"), "t0", "t1", "t2")
-
-    def bucket(w: Column) -> Column:
-        return F.pmod(F.xxhash64(F.ltrim(F.lower(w), F.lit(_TRIM))), F.lit(buckets))
-
-    sieve = words.select(bucket(F.col("word")).alias("b")).distinct()
-    one = one.withColumn("b", bucket(F.col("word"))).join(F.broadcast(sieve), "b", "left_semi")
-    return one.select(F.explode(_lexical(F.col("word"), gap, _ends(F.col("t1"))[1], _ends(F.col("t2"))[0])).alias("p")).filter("p <> ''")
+    one = _sifted(one, F.ltrim(F.lower("word"), F.lit(_TRIM)), wanted.select(_word(F.col("p")).alias("word")), bits)
+    one = one.select(F.explode(_lexical(F.col("word"), gap, _ends(F.col("t1"))[1], _ends(F.col("t2"))[0])).alias("p")).filter("p <> ''")
+    return _sifted(one, F.col("p"), wanted.select("p"), bits)
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
@@ -237,7 +248,7 @@ def learn_patterns(docs: DataFrame, found: DataFrame, how: Bootstrap) -> DataFra
 
     found holds __p_cand and __p_seed of each row. A pattern's occurrences are counted over the
     whole corpus, summed before they are shuffled; those of patterns that cannot matter are
-    sifted out before that, by a table of at most how.buckets hashes. A pattern that could not
+    sifted out before that, by tables of how.bits bits. A pattern that could not
     reach the confidence even if all that it holds were right is left out before the rounds.
     """
     edges = (
@@ -252,7 +263,7 @@ def learn_patterns(docs: DataFrame, found: DataFrame, how: Bootstrap) -> DataFra
     )
     edges = cut(edges, "pii-edges")
     hopeful = cut(edges.groupBy("p").agg(F.sum("n").alias("most"), F.count("*").alias("kinds")).filter(F.col("kinds") >= how.min_support).select("p", "most"), "pii-hopeful")
-    words = corpus_patterns(docs, hopeful.select(_word(F.col("p")).alias("word")), how.buckets).groupBy("p").agg(F.count("*").alias("total"))
+    words = corpus_patterns(docs, hopeful.select("p"), how.bits).groupBy("p").agg(F.count("*").alias("total"))
     patterns = cut(
         hopeful.join(words, "p", "left").withColumn("total", F.greatest("most", F.coalesce("total", F.lit(0))))
         .filter(F.col("most") >= how.min_confidence * F.col("total")).select("p", "total"),
