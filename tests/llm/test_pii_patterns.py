@@ -49,3 +49,19 @@ def test_secret_shapes_are_seeds(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.redact(spark, docs, "").collect()}
     assert [out[i] for i in range(5)] == ['secret = "<ID>" end'] * 5 and out[5] == texts[5]
+
+
+def test_counts_do_not_depend_on_the_tables_of_bits(spark):
+    """Whatever shares a bit with a wanted pattern passes, but no wanted occurrence is lost."""
+    texts = ['key = "a" key = "b"', "The key, the KEY; (key)", "\U0001f511 key été key", "", None, "x " * 500 + "key end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = spark.createDataFrame([("wkey",), ("wx",), ("wthe",), ("lkey\u0001 = \"",), ("wabsent",)], "p string")
+
+    def counts(bits):
+        rows = pii.corpus_patterns(docs, wanted, bits).groupBy("p").count().join(wanted, "p").collect()
+        return {r.p: r["count"] for r in rows}
+
+    expected = {"wkey": 8, "wx": 500, "wthe": 2, 'lkey\u0001 = "': 2}
+    assert counts(1 << 24) == counts(64) == expected
+    empty = pii.corpus_patterns(docs, wanted.limit(0), 64)
+    assert empty.count() == 0
