@@ -224,13 +224,12 @@ def _reader(folder: str, with_bytes: bool):
                         said = head["WARC-Payload-Digest"].partition(":")[2]
                         if last and not revisit and (digest != said or length != int(head["Payload-Length"])):
                             raise ValueError(f"record {head['WARC-Record-ID']} is damaged")
-                        if with_bytes or last:
-                            rows.append((
-                                int(head["Page-Id"]) if head["Page-Id"] else None, head["WARC-Type"], k, data if with_bytes else None,
-                                said if revisit else digest, int(head["Payload-Length"]) if revisit else length, last,
-                                int(head["Refers-To-Page-Id"]) if revisit else None,
-                            ))
-                            held += len(data) if with_bytes else 100
+                        rows.append((
+                            int(head["Page-Id"]) if head["Page-Id"] else None, head["WARC-Type"], k, data if with_bytes else None,
+                            said if revisit else digest, int(head["Payload-Length"]) if revisit else length, last,
+                            int(head["Refers-To-Page-Id"]) if revisit else None,
+                        ))
+                        held += len(data) if with_bytes else 100
                         if held > 8 * CHUNK:
                             yield _chunk_rows(rows)
                             rows, held = [], 0
@@ -251,8 +250,8 @@ def _chunk_rows(rows) -> pa.RecordBatch:
 
 
 def read_archives(archives: DataFrame, folder: str, with_bytes: bool = True) -> DataFrame:
-    """The chunk table of the archives listed; without bytes only the last chunk's row of each
-    record, its data left out."""
+    """The chunk table of the archives listed, a row for each chunk of each record; without
+    bytes its data is null."""
     names = archives.select("archive")
     n = max(1, archives.count())
     return names.repartition(min(n, 10_000), "archive").mapInArrow(_reader(folder, with_bytes), CHUNK_SCHEMA)
@@ -261,7 +260,9 @@ def read_archives(archives: DataFrame, folder: str, with_bytes: bool = True) ->
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     archives = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(archives, folder, with_bytes=False).select(
+    chunks = read_archives(archives, folder, with_bytes=False)
+    # the digest and the length so far at a record's last chunk are those of its payload
+    return chunks.filter("last").select(
         "page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 

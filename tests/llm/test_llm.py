@@ -262,6 +262,9 @@ def test_warc_round_trip(spark, tmp_path):
         assert last.digest == hashlib.sha256((h or "").encode()).hexdigest() and last.bytes_so_far == len((h or "").encode())
         assert last.refers_to == (4 if i in (5, 7) else None) and (last.refers_to is not None or data == (h or "").encode())
     assert len(rows[6]) == 3
+    archives = spark.createDataFrame([(x.name,) for x in (tmp_path / "w").iterdir() if x.name.endswith(".warc.gz")], "archive string")
+    bare = warc.read_archives(archives, folder, with_bytes=False).orderBy("page_id", "chunk").collect()
+    assert [r.asDict() for r in bare] == [{**r.asDict(), "data": None} for i in sorted(rows) for r in rows[i]]
 
 
 def test_repeated_strings(spark):
