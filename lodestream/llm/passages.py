@@ -20,10 +20,19 @@ least LEAST shingles each and a Jaccard similarity of at least SIMILARITY.
 
 A representative that shares no more than a phrase with a document does not verify it, and the
 document may share a passage with another one of the group. So the documents are also linked to
-representatives by keys of every LEAST shingles whose minima other windows have: the shingles
-themselves, so that all documents with the same passage are linked to one of them, and any
-two of the four minima, for passages with differences (of similarity 0.8: a chance of 0.97). A shard sends a
-key once, with its shortest document.
+representatives by keys of CERTAIN equal shingles, which make a link by themselves, and of any
+two of the four minima of LEAST shingles whose minima other windows have. A shard sends a key
+once, with its shortest document.
+
+These links are the quick way to most classes; the rest are looked for without chance. Two
+passages of a link share a run of RUN equal shingles: each place where they part (words changed,
+put in or left out) costs them at least four shingles of those that only one has, or as many
+fewer as words repeat there, and those are at most a quarter of the common ones. So each shared
+run of RUN shingles names all documents that have it (a sample of the run, the least name of its
+parts of GRAM shingles, tells beforehand which runs can be shared), and once the classes of the
+verified links are known, all pairs of a run's documents that are not of one class are verified
+too. The argument fails for passages in which shingles themselves repeat or parts of which
+stand in another order between the same four words; those are only found by the minima.
 
 Rows: one for each verified passage of a link (doc_id, other_doc_id, their word ranges,
 jaccard) and one for each copy of a text (jaccard 1, the whole text), with class_id, the
@@ -54,6 +63,9 @@ SHINGLE = 5
 LEAST = 46  # shingles, of 50 words
 HASHES = 4
 CONTEXT = 6  # shingles on either side of a minimum
+RUN = 12  # shingles in a row that a linked pair has in common, at least (see above)
+GRAM = 4  # shingles of a sample of a run
+CERTAIN = 41  # equal shingles in a row that make a link
 SIMILARITY = 0.8
 PIECE = 1 << 20  # bytes of texts hashed together
 SPLIT = 32  # tasks that the copies of one text are dealt out to
@@ -143,6 +155,15 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[:n], x[width - w: width - w + n])
 
 
+def run_names(x: np.ndarray, width: int) -> np.ndarray:
+    """Names of all runs of `width` values."""
+    n, y, w = len(x) - width + 1, x, 1
+    while 2 * w <= width:
+        y = triple(y[:-w], y[w:], np.full(1, w, np.uint64))
+        w *= 2
+    return triple(y[:n], y[width - w: width - w + n], np.full(1, width, np.uint64))
+
+
 def window_minima(values: np.ndarray, valid: np.ndarray, least: int = LEAST) -> np.ndarray:
     """Centres c of all compact windows of many documents at once: a tree node is `least` wide
     exactly if its value is the minimum of some run of `least` values. valid tells for every
@@ -189,9 +210,42 @@ class PassageShard(Shard):
             sig.append(v[c] ^ _U(j * 0x9E3779B9 + 1))
         return np.concatenate(sig), np.concatenate(rows), words, before
 
+    def run_samples(self, words: np.ndarray, before: np.ndarray):
+        """The shingles; for every run of RUN shingles its sample (the least of the names of its
+        parts of GRAM shingles), whether it lies in one document and is not sampled as the run
+        before it."""
+        x = shingle_hashes(words)
+        n = len(x) - RUN + 1
+        if n <= 0:
+            return x, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
+        doc = np.repeat(np.arange(len(self.ids)), np.diff(before))
+        valid = doc[:n] == doc[RUN + SHINGLE - 2:]
+        m = _sliding(run_names(x, GRAM), RUN - GRAM + 1, np.minimum)
+        new = valid & np.concatenate([[True], (m[1:] != m[:-1]) | ~valid[:-1]])
+        return x, m, valid, new
+
+    def run_keys(self, words: np.ndarray, before: np.ndarray, multi: np.ndarray):
+        """Keys of the runs of RUN shingles whose samples are among those of multi, the documents
+        they lie in and their samples; and the same of the runs of CERTAIN shingles made of them."""
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        x, m, valid, new = self.run_samples(words, before)
+        at = np.flatnonzero(new)
+        if not len(at):
+            return none, none
+        doc = np.repeat(np.arange(len(self.ids)), np.diff(before))
+        known = np.repeat(found_in(m[at], multi), np.diff(np.append(at, len(m)))) & valid[at[0]:]
+        known = np.concatenate([np.zeros(at[0], bool), known])
+        places = np.flatnonzero(known)
+        short = run_names(x, RUN)[places], doc[places], m[places]
+        if len(x) < CERTAIN:
+            return short, none
+        n = len(x) - CERTAIN + 1
+        places = np.flatnonzero(known[:n] & known[CERTAIN - RUN:] & (doc[:n] == doc[CERTAIN + SHINGLE - 2:]))
+        return short, (run_names(x, CERTAIN)[places], doc[places], m[places])
+
     def window_keys(self, words: np.ndarray, before: np.ndarray, multi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the runs of LEAST shingles whose minima are among the signatures of multi, the
-        documents they lie in, and the minimum that each is dealt out by: that of a run's
+        """Keys of two of the minima of the runs of LEAST shingles that are among the signatures of
+        multi, the documents they lie in, and the minimum that each is dealt out by: that of a run's
         neighbours too, so that few buckets hear of the same two documents."""
         x = shingle_hashes(words)
         n = len(x) - LEAST + 1
@@ -208,12 +262,7 @@ class PassageShard(Shard):
             # a minimum is first known where its first run in the document begins
             new[j][1:] |= valid[1:] & ~valid[:-1]
             least.append(m)
-        places = np.flatnonzero(np.logical_and.reduce(known))
-        y, w = x, 1
-        while 2 * w <= LEAST:
-            y = triple(y[:-w], y[w:], np.full(1, w, np.uint64))
-            w *= 2
-        keys, at, by = [triple(y[places], y[places + LEAST - w], np.full(1, LEAST, np.uint64))], [places], [least[0][places]]
+        keys, at, by = [], [], []
         for i, j in combinations(range(HASHES), 2):
             at.append(np.flatnonzero(known[i] & known[j] & (new[i] | new[j])))
             keys.append(triple(least[i][at[-1]], least[j][at[-1]], np.full(1, HASHES * i + j, np.uint64)))
@@ -222,8 +271,9 @@ class PassageShard(Shard):
 
     def round1(self, replies):
         self.set_aside(replies)
-        sig, _, _, _ = self.windows()
-        return np.unique(sig), np.zeros(0, np.uint64)
+        sig, _, words, before = self.windows()
+        _, m, _, new = self.run_samples(words, before)
+        return np.unique(np.concatenate([sig, m[new]])), np.zeros(0, np.uint64)
 
 
 def _members(shard: PassageShard, replies) -> Iterator[pa.RecordBatch]:
@@ -238,7 +288,7 @@ def _members(shard: PassageShard, replies) -> Iterator[pa.RecordBatch]:
 _PASSAGE = "doc_id long, other_doc_id long, start_word long, end_word long, other_start_word long, other_end_word long, jaccard double"
 _NAMES = [x.split()[0] for x in _PASSAGE.split(", ")]
 _WINDOW = "sig long, context long, j int, words long"
-_KEYS = "bucket long, keys binary, who binary"
+_KEYS = "bucket long, keys binary, who binary, runs binary, run_docs binary"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
 _SHARED = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in f"{_WINDOW}, {_PASSAGE}, {_KEYS}".split(", ")])
 _WHO = np.dtype([("words", "<i4"), ("doc", "<i8")])
@@ -254,16 +304,19 @@ def _shared_windows(buckets: int):
 
 def _shared(shard: PassageShard, replies, buckets: int) -> Iterator[pa.RecordBatch]:
     """The verified passages of the shard's own links, one window (doc_id its document) for
-    each shared minimum and context, and the keys of the shard's shared windows by bucket, each
-    with its representative."""
+    each shared minimum and context, and by bucket the keys of the shard's shared windows, each
+    with its representative, and of its shared runs, with all documents that have them."""
     shard.set_aside(replies)
     sig, rows, words, before = shard.windows()
-    u, _, multi = once(sig)
+    if not len(sig):
+        return
+    _, m, _, new = shard.run_samples(words, before)
+    u, _, multi = once(np.concatenate([sig, m[new]]))
     multi = np.union1d(u[multi], replies.get(1, np.zeros(0, np.uint64)))
+    runs, certain = shard.run_keys(words, before, multi)
+    yield from _runs_by_bucket(shard, runs, buckets)
     hit = found_in(sig, multi)
     sig, rows = sig[hit], rows[hit]
-    if not len(sig):
-        return
     k, c = rows[:, 0], rows[:, 2]
     # the words around the minimum, as far as the document goes
     lo = np.maximum(before[k], c - CONTEXT)
@@ -274,13 +327,13 @@ def _shared(shard: PassageShard, replies, buckets: int) -> Iterator[pa.RecordBat
         context = np.where(at < hi, triple(context, words[np.minimum(at, len(words) - 1)], context), context)
     order = np.lexsort((shard.ids[k], rows[:, 3], context, sig))
     sig, context, rows, k = sig[order], context[order], rows[order], k[order]
-    first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (context[1:] != context[:-1])]))
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(sig), 1), bool), (sig[1:] != sig[:-1]) | (context[1:] != context[:-1])]))
     rep = np.repeat(k[first], np.diff(np.append(first, len(k))))
     # the same by the keys of whole windows
     size = np.diff(before)
     rank = np.empty(len(size), np.int64)
     rank[np.lexsort((shard.ids, size))] = np.arange(len(size))
-    key, own, by = shard.window_keys(words, before, multi)
+    key, own, by = (np.concatenate(c) for c in zip(shard.window_keys(words, before, multi), certain))
     order = np.lexsort((rank[own], key))
     key, own, by = key[order], own[order], by[order]
     top = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -295,9 +348,10 @@ def _shared(shard: PassageShard, replies, buckets: int) -> Iterator[pa.RecordBat
         found += _passages(int(shard.ids[d]), x[d], int(shard.ids[r]), x[r], by_hash)
     if found:
         yield _row(len(found), **dict(zip(_NAMES, zip(*found))))
-    yield _row(
-        len(first), sig=sig[first].view(np.int64), context=context[first].view(np.int64), j=rows[first, 1].astype(np.int32),
-        words=rows[first, 3], doc_id=shard.ids[k[first]])
+    if len(first):
+        yield _row(
+            len(first), sig=sig[first].view(np.int64), context=context[first].view(np.int64), j=rows[first, 1].astype(np.int32),
+            words=rows[first, 3], doc_id=shard.ids[k[first]])
     key, own = key[top], own[top]
     to = (by[top] % _U(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
@@ -309,6 +363,57 @@ def _shared(shard: PassageShard, replies, buckets: int) -> Iterator[pa.RecordBat
     yield _row(len(used), bucket=used, keys=[key[a:b].tobytes() for a, b in ends], who=[who[a:b].tobytes() for a, b in ends])
 
 
+def _runs_by_bucket(shard: PassageShard, runs, buckets: int) -> Iterator[pa.RecordBatch]:
+    key, own, by = runs
+    if not len(key):
+        return
+    order = np.lexsort((own, key))
+    key, own, by = key[order], own[order], by[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+    key, own, to = key[new], own[new], (by[new] % _U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    key, doc, to = key[order], shard.ids[own[order]].astype(np.int64), to[order]
+    used, start = np.unique(to, return_index=True)
+    ends = list(zip(start.tolist(), np.append(start[1:], len(key)).tolist()))
+    yield _row(len(used), bucket=used, runs=[key[a:b].tobytes() for a, b in ends], run_docs=[doc[a:b].tobytes() for a, b in ends])
+
+
+def _run_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, runs, run_docs) by bucket: (part, doc) of all documents that have a run in
+    common; runs of the same documents give one group, named by a hash of them."""
+    rows = (tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(b.num_rows))
+    for _, group in groupby(rows, key=lambda x: x[0]):
+        runs, docs = zip(*((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)) for _, a, b in group))
+        key, doc = np.concatenate(runs), np.concatenate(docs)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        key, doc = key[new], doc[new]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        name = np.add.reduceat(mix(doc.view(np.uint64) * _BASE + _SEEDS[0]), first)
+        _, kept = np.unique(np.where(size > 1, name, _U(0)), return_index=True)
+        kept = kept[size[kept] > 1]
+        member = np.zeros(len(first), bool)
+        member[kept] = True
+        member = np.repeat(member, size)
+        part = np.repeat(name, size)[member].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(doc[member])], ["part", "doc"])
+
+
+def open_links(groups: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """(doc, other): all documents of a group that are not known to be of one class."""
+    named = groups.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("part", "doc", F.coalesce("component", "doc").alias("class"))
+    named = cut(named, "passage-named")
+    mixed = named.groupBy("part").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select(F.bitwise_not("part").alias("p"))
+    rows = named.withColumn("p", F.bitwise_not("part")).join(mixed, "p").select("p", "doc", "class")
+    rows = cut(rows, "passage-open")
+    pairs = rows.alias("a").join(rows.alias("b"), "p").filter("a.class < b.class")
+    pairs = pairs.select(F.greatest("a.doc", "b.doc").alias("doc"), F.least("a.doc", "b.doc").alias("other")).distinct()
+    tried = tried.select(F.greatest("doc", "other").alias("doc"), F.least("doc", "other").alias("other")).distinct()
+    return pairs.join(tried, ["doc", "other"], "left_anti")
+
+
 def _keyed_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, keys, who) by bucket: (doc, other) of the shards' representatives of a key
     and the shortest of them."""
@@ -343,14 +448,22 @@ def candidate_links(windows: DataFrame) -> DataFrame:
 
 DRIFT = 8  # words by which inserted and left out words may shift a passage's parts
 CHUNK = 256  # windows that are compared with the other text at a time
+SPAN = 4
+PLACES = 1 << 20  # pairs of places with the same shingle that are looked at together
 
 
-def _firsts(x: np.ndarray, width: int) -> np.ndarray:
-    """For every run of `width` values, which of them are the first of their kind in it."""
+def _place_before(x: np.ndarray) -> np.ndarray:
+    """Where each value last stood before, or -1."""
     order = np.argsort(x, kind="stable")
     before = np.full(len(x), -1)
     same = x[order[1:]] == x[order[:-1]]
     before[order[1:][same]] = order[:-1][same]
+    return before
+
+
+def _firsts(x: np.ndarray, width: int) -> np.ndarray:
+    """For every run of `width` values, which of them are the first of their kind in it."""
+    before = _place_before(x)
     return np.lib.stride_tricks.sliding_window_view(before, width) < np.arange(len(x) - width + 1)[:, None]
 
 
@@ -362,16 +475,135 @@ def _edges(x: np.ndarray, width: int) -> np.ndarray:
     return change[: len(x) - width + 1] | change[width:]
 
 
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    x, y = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def fewest_kinds(x: np.ndarray, width: int) -> int:
+    """The least number of distinct values in a run of `width` values."""
+    before = _place_before(x)
+    if before.max() < 0:
+        return width
+    at = np.arange(len(x))
+    # the value at a place is the first of its kind in the runs that start after the one before
+    change = np.zeros(len(x) + 2, np.int64)
+    lo = np.maximum(before + 1, at - width + 1)
+    np.add.at(change, np.maximum(lo, 0), 1)
+    np.add.at(change, np.maximum(at + 1, np.maximum(lo, 0)), -1)
+    return int(np.cumsum(change)[: len(x) - width + 1].min())
+
+
 def similar_passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY, order: np.ndarray | None = None):
     """(start, end, start, end, jaccard) in shingles, ends exclusive, of passages of a that
-    have a near-duplicate in b. A window of `least` shingles qualifies when enough of them
-    occur in b; windows that overlap are one stretch. A stretch is matched along the diagonal
-    that most of its shingles lie on; where that fails, each of its windows is compared with
-    every window of b, by products of their incidence matrices. order sorts b."""
+    have a near-duplicate in b: those around windows of a, else of b, that are dense with the
+    other's shingles, else the longest one between two equal runs."""
     if len(a) < least or len(b) < least:
         return
     if order is None:
         order = np.argsort(b, kind="stable")
+    # no pair of passages has fewer kinds of shingles than its poorest windows
+    kinds = np.unique(a)
+    if np.count_nonzero(found_in(kinds, b[order])) < similarity * max(fewest_kinds(a, least), fewest_kinds(b, least)):
+        return
+    found = False
+    for got in dense_passages(a, b, least, similarity, order):
+        found = True
+        yield got
+    if found:
+        return
+    for s, e, t, u, jaccard in dense_passages(b, a, least, similarity, np.argsort(a, kind="stable")):
+        found = True
+        yield t, u, s, e, jaccard
+    if not found:
+        yield from spanning_passage(a, b, least, similarity, order)
+
+
+def equal_runs(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, start, length) of all runs of values that are the same in a and b and cannot be
+    made longer. order sorts b."""
+    ordered = b[order]
+    left, right = np.searchsorted(ordered, a), np.searchsorted(ordered, a, side="right")
+    upto = np.concatenate([[0], np.cumsum(right - left)])
+    starts, ends, lo = [], [], 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PLACES, side="right")) - 1)
+        i = np.repeat(np.arange(lo, hi), right[lo:hi] - left[lo:hi])
+        j = order[left[i] + np.arange(len(i)) - (upto[i] - upto[lo])]
+        before = (i > 0) & (j > 0) & (a[i - 1] == b[j - 1])
+        x, y = np.minimum(i + 1, len(a) - 1), np.minimum(j + 1, len(b) - 1)
+        after = (x > i) & (y > j) & (a[x] == b[y])
+        starts.append(np.stack([i[~before], j[~before]]))
+        ends.append(np.stack([i[~after], j[~after]]))
+        lo = hi
+    (s, t), (e, u) = np.concatenate(starts, axis=1), np.concatenate(ends, axis=1)
+    one, two = np.lexsort((s, t - s)), np.lexsort((e, u - e))
+    s, t, size = s[one], t[one], e[two] - s[one] + 1
+    by = np.lexsort((t, s))
+    return s[by], t[by], size[by]
+
+
+def spanning_passage(a: np.ndarray, b: np.ndarray, least: int, similarity: float, order: np.ndarray):
+    """The longest passage of at most SPAN times the least length that begins with one equal run
+    and ends with the same or another. Of a longer one, cut in two within an equal run, one part
+    is at least as similar."""
+    s, t, size = equal_runs(a, b, order)
+    sides = [(_place_before(x), found_in(x, np.unique(y))) for x, y in ((a, b), (b, a))]
+    reach = SPAN * least + int(size.max(initial=0))
+
+    def counts(side: int, lo: int, hi: np.ndarray):
+        """Kinds from lo to each of hi, and the most of them that the other side can have once
+        the passage is made `least` long."""
+        before, common = (x[lo: lo + reach] for x in sides[side])
+        new = before < lo
+        at = hi - lo - 1
+        return np.cumsum(new)[at], np.cumsum(new & common)[at] + np.maximum(0, least - (hi - lo))
+
+    rows = []
+    until = np.searchsorted(s, s + SPAN * least)
+    # of starts that what follows is the same for, in both texts, one will do
+    tail = np.arange(SPAN * least, dtype=np.uint64)
+    follow_a, follow_b = (run_names(np.concatenate([x, tail]), len(tail) + 1) for x in (a, b))
+    starts = np.sort(np.unique(np.stack([follow_a[s], follow_b[t]]), axis=1, return_index=True)[1])
+    seen = set()
+    for k in starts.tolist():
+        near = k + np.flatnonzero((t[k: until[k]] >= t[k]) & (t[k: until[k]] <= t[k] + SPAN * least))
+        e, u = s[near] + size[near], t[near] + size[near]
+        n, m = e - s[k], u - t[k]
+        (x, in_b), (y, in_a) = counts(0, int(s[k]), e), counts(1, int(t[k]), u)
+        both = np.minimum(in_a, in_b)
+        # windows of the least length on both sides are what dense_passages compares
+        fit = (both >= similarity * (x + y - both) - 1e-6) & (np.maximum(n, m) > least)
+        fit = np.flatnonzero(fit)
+        if len(fit) > 1:  # as many kinds from the same start are the same kinds
+            same = ((x * reach + y)[fit] * (least + 1) + np.minimum(n, least)[fit]) * (least + 1) + np.minimum(m, least)[fit]
+            fit = fit[np.unique(same, return_index=True)[1]]
+        rows += [(int(n[x] + m[x]), int(s[k]), int(e[x]), int(t[k]), int(u[x])) for x in fit.tolist()]
+    kinds_a, kinds_b = np.searchsorted(np.unique(a), a), np.searchsorted(np.unique(b), b)
+
+    for _, lo, hi, first, last in sorted(rows, reverse=True):
+        short, other = max(0, least - (hi - lo)), max(0, least - (last - first))
+        # where they are too short, they are widened on both sides alike
+        for k in range(max(short, other) + 1):
+            x, v = lo - min(k, short), first - min(k, other)
+            y, w = max(hi, x + least), max(last, v + least)
+            if x < 0 or v < 0 or y > len(a) or w > len(b):
+                continue
+            sets = frozenset(kinds_a[x:y].tolist()), frozenset(kinds_b[v:w].tolist())
+            if sets in seen:
+                continue
+            seen.add(sets)
+            if (jaccard := _jaccard(a[x:y], b[v:w])) >= similarity:
+                yield x, y, v, w, jaccard
+                return
+
+
+def dense_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float, order: np.ndarray):
+    """(start, end, start, end, jaccard) of passages of a around dense windows. A window of `least` shingles qualifies when enough of them
+    occur in b; windows that overlap are one stretch. A stretch is matched along the diagonal
+    that most of its shingles lie on; where that fails, each of its windows is compared with
+    every window of b, by products of their incidence matrices. order sorts b."""
     ordered = b[order]
     left = np.searchsorted(ordered, a)
     at = np.where(left == len(b), 0, left)
@@ -388,9 +620,7 @@ def similar_passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarit
     def alike(s: int, e: int, t: int, u: int):
         if e - s < least or u - t < least:
             return None
-        x, y = np.unique(a[s:e]), np.unique(b[t:u])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        jaccard = both / (len(x) + len(y) - both)
+        jaccard = _jaccard(a[s:e], b[t:u])
         return (s, e, t, u, jaccard) if jaccard >= similarity else None
 
     def commonest(s: int, e: int):
@@ -569,26 +799,39 @@ def near_passages(docs: DataFrame) -> DataFrame:
     del sent
     tidy(spark)
     shared = cut(on_shards(_shared_windows(buckets), f"{_WINDOW}, {_PASSAGE}, {_KEYS}"), "passage-windows")
-    keys = shared.filter("bucket is not null").select("bucket", "keys", "who")
+    keys = shared.filter("keys is not null").select("bucket", "keys", "who")
     keyed = keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_keyed_links, "doc long, other long")
     links = candidate_links(shared.filter("sig is not null").select("sig", "context", "j", "words", F.col("doc_id").alias("doc")))
     links = cut(links.union(keyed).distinct(), "passage-links")
-    del keys, keyed
+    runs = shared.filter("runs is not null").select("bucket", "runs", "run_docs")
+    groups = cut(runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_run_groups, "part long, doc long").distinct(), "passage-groups")
+    del keys, keyed, runs
     tidy(spark)
     place = members.select("doc", "shard").distinct()
-    asked = links.join(place, "doc").groupBy("shard", "other").agg(F.collect_set("doc").alias("docs"))
-    asked = cut(asked.join(place.select(F.col("doc").alias("other"), F.col("shard").alias("home")), "other").select("home", "shard", "other", "docs"), "passage-asked")
-    # by ranges, so that many tasks share a representative that many shards ask for
-    texts = asked.repartitionByRange(parts, "home", "shard").sortWithinPartitions("home").mapInArrow(_fetch(folder), _TEXTS)
-    verified = cut(texts.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_verify(folder), _PASSAGE), "passages")
-    remove(spark, folder)
-    del texts
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        asked = pairs.join(place, "doc").groupBy("shard", "other").agg(F.collect_set("doc").alias("docs"))
+        asked = cut(asked.join(place.select(F.col("doc").alias("other"), F.col("shard").alias("home")), "other").select("home", "shard", "other", "docs"), "passage-asked")
+        # by ranges, so that many tasks share a representative that many shards ask for
+        texts = asked.repartitionByRange(parts, "home", "shard").sortWithinPartitions("home").mapInArrow(_fetch(folder), _TEXTS)
+        return cut(texts.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_verify(folder), _PASSAGE), "passages")
+
+    verified = verify(links)
     tidy(spark)
     whole = copies.filter(F.col("n") >= LEAST + SHINGLE - 1).select("doc", "first", "n").distinct().select(
         F.col("doc").alias("doc_id"), F.col("first").alias("other_doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"),
         F.lit(0).cast("long").alias("other_start_word"), F.col("n").alias("other_end_word"), F.lit(1.0).alias("jaccard"))
-    found = shared.filter("jaccard is not null").select(*_NAMES).union(verified).union(whole)
+    found = shared.filter("jaccard is not null").select(*_NAMES).union(verified)
+    # copies have no windows, so their links cannot bring two groups' members together
     labels = connected_components(found.select(F.col("doc_id").alias("u"), F.col("other_doc_id").alias("v")))
+    late = verify(open_links(groups, labels, links))
+    remove(spark, folder)
+    tidy(spark)
+    found = found.union(late).union(whole)
+    edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    for more in (late, whole):
+        edges = edges.union(more.select(F.col("doc_id").alias("u"), F.col("other_doc_id").alias("v")))
+    labels = connected_components(edges)
     return found.join(labels, found.doc_id == labels.node).select(*_NAMES, F.col("component").alias("class_id"))
 
 

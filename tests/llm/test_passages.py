@@ -78,3 +78,22 @@ def around_phrases(edited, pairs=60):
 def test_shared_phrase_does_not_hide_a_passage(spark):
     texts, _ = around_phrases(False)
     assert linked(spark, texts) == {i: i - i % 2 for i in range(120)}
+
+
+def test_phrase_and_a_changed_word_do_not_hide_a_passage(spark):
+    """Linked whatever the representatives are: all pairs of a phrase's texts are looked at."""
+    texts, passages = around_phrases(True)
+    found = linked(spark, texts)
+    for i, (a, b) in enumerate(passages):
+        x, y = set(shingles(a).tolist()), set(shingles(b).tolist())
+        if len(x & y) >= 0.8 * len(x | y):
+            assert found.get(2 * i) == found.get(2 * i + 1) == 2 * i, i
+
+
+def test_words_changed_in_the_middle_of_a_longer_passage():
+    """No window of 50 words is similar, the whole passage is."""
+    for n, gap in ((38, 4), (40, 4), (41, 5)):
+        left, right = made_up(n, n), made_up(n, 100 + n)
+        a, b = (made_up(30, s) + left + made_up(gap, s + 10) + right + made_up(30, s + 20) for s in (1, 2))
+        assert verified(a, b) and verified(b, a)
+    assert not verified(made_up(30, 1) + made_up(40, 5) + made_up(60, 2), made_up(30, 3) + made_up(40, 5) + made_up(60, 4))
