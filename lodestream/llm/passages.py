@@ -342,10 +342,11 @@ def _shared(shard: PassageShard, replies, buckets: int) -> Iterator[pa.RecordBat
     pairs = np.unique(pairs[shard.ids[pairs[:, 0]] != shard.ids[pairs[:, 1]]], axis=0)
     found, last = [], -1
     x = _by_document(shingle_hashes(words), before)
+    kinds = _Kinds(x)
     for r, d in pairs.tolist():
         if r != last:
             last, by_hash = r, np.argsort(x[r], kind="stable")
-        found += _passages(int(shard.ids[d]), x[d], int(shard.ids[r]), x[r], by_hash)
+        found += _passages(int(shard.ids[d]), x[d], int(shard.ids[r]), x[r], by_hash, (kinds[d], kinds[r]))
     if found:
         yield _row(len(found), **dict(zip(_NAMES, zip(*found))))
     if len(first):
@@ -481,32 +482,43 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def sums_of_kinds(before: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """For every run of `width` places, the sum of `values` over the first places of its kinds."""
+    at = np.arange(len(before))
+    # the value at a place is the first of its kind in the runs that start after the one before
+    change = np.zeros(len(before) + 1, values.dtype)
+    np.add.at(change, np.maximum(np.maximum(before + 1, at - width + 1), 0), values)
+    change[1:] -= values
+    return np.cumsum(change)[: len(before) - width + 1]
+
+
 def fewest_kinds(x: np.ndarray, width: int) -> int:
     """The least number of distinct values in a run of `width` values."""
     before = _place_before(x)
-    if before.max() < 0:
-        return width
-    at = np.arange(len(x))
-    # the value at a place is the first of its kind in the runs that start after the one before
-    change = np.zeros(len(x) + 2, np.int64)
-    lo = np.maximum(before + 1, at - width + 1)
-    np.add.at(change, np.maximum(lo, 0), 1)
-    np.add.at(change, np.maximum(at + 1, np.maximum(lo, 0)), -1)
-    return int(np.cumsum(change)[: len(x) - width + 1].min())
+    return width if before.max() < 0 else int(sums_of_kinds(before, np.ones(len(x), np.int64), width).min())
+
 
+def kinds_of(x: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, int]:
+    """The distinct values, and the least number of them in a run of `least`."""
+    return np.unique(x), fewest_kinds(x, least) if len(x) >= least else 0
 
-def similar_passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY, order: np.ndarray | None = None):
+
+def similar_passages(
+        a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY, order: np.ndarray | None = None, kinds=None):
     """(start, end, start, end, jaccard) in shingles, ends exclusive, of passages of a that
     have a near-duplicate in b: those around windows of a, else of b, that are dense with the
-    other's shingles, else the longest one between two equal runs."""
+    other's shingles, else the longest one between two equal runs. order sorts b; kinds: what
+    kinds_of says of a and of b."""
     if len(a) < least or len(b) < least:
         return
-    if order is None:
-        order = np.argsort(b, kind="stable")
+    (in_a, fewest_a), (in_b, fewest_b) = kinds or (kinds_of(a, least), kinds_of(b, least))
+    if len(in_a) > len(in_b):
+        in_a, in_b = in_b, in_a
     # no pair of passages has fewer kinds of shingles than its poorest windows
-    kinds = np.unique(a)
-    if np.count_nonzero(found_in(kinds, b[order])) < similarity * max(fewest_kinds(a, least), fewest_kinds(b, least)):
+    if np.count_nonzero(found_in(in_a, in_b)) < similarity * max(fewest_a, fewest_b):
         return
+    if order is None:
+        order = np.argsort(b, kind="stable")
     found = False
     for got in dense_passages(a, b, least, similarity, order):
         found = True
@@ -549,53 +561,86 @@ def spanning_passage(a: np.ndarray, b: np.ndarray, least: int, similarity: float
     and ends with the same or another. Of a longer one, cut in two within an equal run, one part
     is at least as similar."""
     s, t, size = equal_runs(a, b, order)
-    sides = [(_place_before(x), found_in(x, np.unique(y))) for x, y in ((a, b), (b, a))]
-    reach = SPAN * least + int(size.max(initial=0))
-
-    def counts(side: int, lo: int, hi: np.ndarray):
-        """Kinds from lo to each of hi, and the most of them that the other side can have once
-        the passage is made `least` long."""
-        before, common = (x[lo: lo + reach] for x in sides[side])
-        new = before < lo
-        at = hi - lo - 1
-        return np.cumsum(new)[at], np.cumsum(new & common)[at] + np.maximum(0, least - (hi - lo))
-
-    rows = []
+    if not len(s):
+        return
+    # a set of kinds is told by the sum of their names
+    sides = [(_place_before(x), found_in(x, np.unique(y)), mix(x ^ _SEEDS[0])) for x, y in ((a, b), (b, a))]
+    reach = SPAN * least + int(size.max())
+
+    def counts(side: int, start: np.ndarray, which: np.ndarray, hi: np.ndarray):
+        """Kinds from start[which] to hi, the most of them that the other side can have once the
+        passage is made `least` long, and the sum of their names."""
+        before, common, name = sides[side]
+        lo, which_lo = np.unique(start, return_inverse=True)
+        place = lo[:, None] + np.arange(reach)
+        over = place >= len(before)
+        place[over] = 0
+        new = (before[place] < lo[:, None]) & ~over
+        at = which_lo[which], hi - start[which] - 1
+        return (np.cumsum(new, axis=1)[at], np.cumsum(new & common[place], axis=1)[at] + np.maximum(0, least - (hi - start[which])),
+                np.cumsum(np.where(new, name[place], _U(0)), axis=1)[at])
+
+    rows, sums = [], []
     until = np.searchsorted(s, s + SPAN * least)
     # of starts that what follows is the same for, in both texts, one will do
     tail = np.arange(SPAN * least, dtype=np.uint64)
     follow_a, follow_b = (run_names(np.concatenate([x, tail]), len(tail) + 1) for x in (a, b))
-    starts = np.sort(np.unique(np.stack([follow_a[s], follow_b[t]]), axis=1, return_index=True)[1])
-    seen = set()
-    for k in starts.tolist():
-        near = k + np.flatnonzero((t[k: until[k]] >= t[k]) & (t[k: until[k]] <= t[k] + SPAN * least))
+    starts = np.sort(np.unique(triple(follow_a[s], follow_b[t], _U(1)), return_index=True)[1])
+    upto = np.concatenate([[0], np.cumsum(until[starts] - starts + reach)])
+    begin = 0
+    while begin < len(starts):
+        end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + PLACES, side="right")) - 1)
+        some = starts[begin:end]
+        times = until[some] - some
+        which = np.repeat(np.arange(len(some)), times)
+        near = some[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        on = t[near] - t[some][which]
+        close = (on >= 0) & (on <= SPAN * least)
+        which, near = which[close], near[close]
         e, u = s[near] + size[near], t[near] + size[near]
-        n, m = e - s[k], u - t[k]
-        (x, in_b), (y, in_a) = counts(0, int(s[k]), e), counts(1, int(t[k]), u)
+        n, m = e - s[some][which], u - t[some][which]
+        (x, in_b, kinds_a), (y, in_a, kinds_b) = counts(0, s[some], which, e), counts(1, t[some], which, u)
         both = np.minimum(in_a, in_b)
         # windows of the least length on both sides are what dense_passages compares
-        fit = (both >= similarity * (x + y - both) - 1e-6) & (np.maximum(n, m) > least)
-        fit = np.flatnonzero(fit)
-        if len(fit) > 1:  # as many kinds from the same start are the same kinds
-            same = ((x * reach + y)[fit] * (least + 1) + np.minimum(n, least)[fit]) * (least + 1) + np.minimum(m, least)[fit]
-            fit = fit[np.unique(same, return_index=True)[1]]
-        rows += [(int(n[x] + m[x]), int(s[k]), int(e[x]), int(t[k]), int(u[x])) for x in fit.tolist()]
-    kinds_a, kinds_b = np.searchsorted(np.unique(a), a), np.searchsorted(np.unique(b), b)
-
-    for _, lo, hi, first, last in sorted(rows, reverse=True):
-        short, other = max(0, least - (hi - lo)), max(0, least - (last - first))
-        # where they are too short, they are widened on both sides alike
-        for k in range(max(short, other) + 1):
-            x, v = lo - min(k, short), first - min(k, other)
-            y, w = max(hi, x + least), max(last, v + least)
-            if x < 0 or v < 0 or y > len(a) or w > len(b):
-                continue
-            sets = frozenset(kinds_a[x:y].tolist()), frozenset(kinds_b[v:w].tolist())
-            if sets in seen:
+        fit = np.flatnonzero((both >= similarity * (x + y - both) - 1e-6) & (np.maximum(n, m) > least))
+        # as many kinds from the same start are the same kinds
+        same = triple(*(v[fit].astype(np.uint64) for v in (which, x, y)))
+        same = triple(same, *(np.minimum(v[fit], least).astype(np.uint64) for v in (n, m)))
+        fit = fit[np.unique(same, return_index=True)[1]]
+        rows.append(np.stack([n + m, s[some][which], e, t[some][which], u])[:, fit])
+        sums.append(np.stack([kinds_a, kinds_b, x, y, in_b, in_a]).astype(np.uint64)[:, fit])
+        begin = end
+    rows, sums = np.concatenate(rows, axis=1), np.concatenate(sums, axis=1)
+    longest = np.lexsort(rows[::-1])[::-1]
+    rows, sums = rows[:, longest], sums[:, longest]
+    # the same of the windows of the least length
+    least_a, least_b = (
+        [sums_of_kinds(before, v.astype(np.uint64), least) for v in (name, np.ones(len(name)), common)] for before, common, name in sides)
+
+    seen = set()
+    for at in range(0, rows.shape[1], CHUNK):
+        _, lo, hi, first, last = rows[:, at: at + CHUNK]
+        short, other = np.maximum(0, least - (hi - lo)), np.maximum(0, least - (last - first))
+        # where they are too short, they are widened on both sides alike, to the least length
+        times = np.maximum(short, other) + 1
+        i = np.repeat(np.arange(len(lo)), times)
+        k = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+        x, v = lo[i] - np.minimum(k, short[i]), first[i] - np.minimum(k, other[i])
+        y, w = np.maximum(hi[i], x + least), np.maximum(last[i], v + least)
+        inside = (x >= 0) & (v >= 0) & (y <= len(a)) & (w <= len(b))
+        i, x, y, v, w = i[inside], x[inside], y[inside], v[inside], w[inside]
+        (kinds_a, n, in_b), (kinds_b, m, in_a) = (
+            [np.where(few[i] > 0, z[np.minimum(start, len(z) - 1)], own) for z, own in zip(windows, sums[side::2][:, at + i])]
+            for side, (few, windows, start) in enumerate(((short, least_a, x), (other, least_b, v))))
+        both = np.minimum(in_a, in_b).astype(np.int64)
+        fit = both >= similarity * (n.astype(np.int64) + m.astype(np.int64) - both) - 1e-6
+        sets, x, y, v, w = triple(kinds_a, kinds_b, _U(1))[fit], x[fit], y[fit], v[fit], w[fit]
+        for j in np.sort(np.unique(sets, return_index=True)[1]).tolist():
+            if (pair := int(sets[j])) in seen:
                 continue
-            seen.add(sets)
-            if (jaccard := _jaccard(a[x:y], b[v:w])) >= similarity:
-                yield x, y, v, w, jaccard
+            seen.add(pair)
+            if (jaccard := _jaccard(a[x[j]: y[j]], b[v[j]: w[j]])) >= similarity:
+                yield int(x[j]), int(y[j]), int(v[j]), int(w[j]), jaccard
                 return
 
 
@@ -703,8 +748,20 @@ def dense_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float,
             yield from exhaustive(s, e)
 
 
-def _passages(doc: int, x: np.ndarray, other: int, y: np.ndarray, order: np.ndarray) -> list[tuple]:
-    return [(doc, other, s, e + SHINGLE - 1, s2, e2 + SHINGLE - 1, j) for s, e, s2, e2, j in similar_passages(x, y, order=order)]
+def _passages(doc: int, x: np.ndarray, other: int, y: np.ndarray, order: np.ndarray, kinds) -> list[tuple]:
+    found = similar_passages(x, y, order=order, kinds=kinds)
+    return [(doc, other, s, e + SHINGLE - 1, s2, e2 + SHINGLE - 1, j) for s, e, s2, e2, j in found]
+
+
+class _Kinds(dict):
+    """What kinds_of says of each of the texts, when first asked for."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        self.texts = texts
+
+    def __missing__(self, k: int):
+        self[k] = kinds_of(self.texts[k])
+        return self[k]
 
 
 _TEXTS = "shard string, other long, text binary, docs array<long>"
@@ -746,13 +803,14 @@ def _verify(folder: str):
                     if shards[i] != name:
                         name, own = shards[i], PassageShard(store, shards[i])
                         xs = _shingles(own.data, own.ends)
+                        kinds = _Kinds(xs)
                         places: dict[int, list[int]] = {}
                         for k, doc in enumerate(own.ids.tolist()):
                             places.setdefault(doc, []).append(k)
-                    order = np.argsort(y, kind="stable")
+                    order, kinds_y = np.argsort(y, kind="stable"), kinds_of(y)
                     for doc in docs[i]:
                         for k in places[doc]:
-                            rows += _passages(doc, xs[k], others[i], y, order)
+                            rows += _passages(doc, xs[k], others[i], y, order, (kinds[k], kinds_y))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], _NAMES)
 

@@ -1,5 +1,7 @@
 """Passages that are hard to link: repeated openings, differing ends, shared phrases."""
 
+import time
+
 import numpy as np
 
 from lodestream.llm import passages as p
@@ -97,3 +99,26 @@ def test_words_changed_in_the_middle_of_a_longer_passage():
         a, b = (made_up(30, s) + left + made_up(gap, s + 10) + right + made_up(30, s + 20) for s in (1, 2))
         assert verified(a, b) and verified(b, a)
     assert not verified(made_up(30, 1) + made_up(40, 5) + made_up(60, 2), made_up(30, 3) + made_up(40, 5) + made_up(60, 4))
+
+
+def repeated_lines(lines, n, seed):
+    r = np.random.default_rng(seed)
+    return [w for i in r.integers(0, len(lines), n) for w in lines[i]]
+
+
+def test_sums_of_kinds():
+    x = np.random.default_rng(3).integers(0, 30, 200).astype(np.uint64)
+    names = x * np.uint64(1000003)
+    sums = p.sums_of_kinds(p._place_before(x), names, 46)
+    assert sums.tolist() == [int(sum(set(names[i: i + 46].tolist()))) for i in range(155)]
+
+
+def test_texts_of_repeated_lines_are_soon_compared():
+    """Many equal runs and no similar passage: the windows between them are of few different sets."""
+    shared = [made_up(7, i) for i in range(5)]
+    a = shingles(repeated_lines([*shared, made_up(9, 10)], 150, 1))
+    b = shingles(repeated_lines([*shared, made_up(6, 20), made_up(6, 21)], 40, 2))
+    start = time.process_time()
+    for _ in range(5):
+        assert not list(p.spanning_passage(a, b, p.LEAST, 0.8, np.argsort(b, kind="stable")))
+    assert time.process_time() - start < 3
