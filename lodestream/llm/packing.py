@@ -26,6 +26,7 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,8 @@ class WordTokenizer:
 
     def _encode_each(self, words: list[bytes], texts: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+            ids = e.ids
+            self.cache[w] = pack_ids(f"<{len(ids)}I", *ids)
 
     def _encode_together(self, words: list[bytes], texts: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
@@ -122,18 +124,22 @@ class WordTokenizer:
             # a special token's own text is case sensitive and must stay as it is
             split.append(t.encode("utf-8", "surrogatepass").lower().split() if plain and "<|" not in t else None)
         cache = self.cache
-        new = {w for words in split if words for w in words if w not in cache}
+        # every word is looked up once; only those not found, a second time
+        known = [list(map(cache.get, words or ())) for words in split]
+        missing = [[i for i, x in enumerate(ids) if x is None] for ids in known]
+        new = {words[i] for words, at in zip(split, missing) for i in at}
         if len(cache) + len(new) > CACHE:
             cache.clear()
-            new = {w for words in split if words for w in words}
         if new:
             self._learn(new)
         out = []
-        for t, words in zip(texts, split):
+        for t, words, ids, at in zip(texts, split, known, missing):
             if words is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join([cache[w] for w in words]), "<u4"))
+                continue
+            for i in at:
+                ids[i] = cache[words[i]]
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
 
