@@ -31,7 +31,19 @@ fewer as words repeat there, and those are at most a quarter of the common ones.
 run of RUN shingles names all documents that have it (a sample of the run, the least name of its
 parts of GRAM shingles, tells beforehand which runs can be shared), and once the classes of the
 verified links are known, all pairs of a run's documents that are not of one class are verified
-too. The argument fails for passages in which shingles themselves repeat or parts of which
+too.
+
+Of a run that more than CROWD documents have (a phrase that many texts quote), not all pairs are
+compared, but none that could verify is left out. The shingles that more than CROWD of these
+crowded documents have are common ones, the others rare. Two passages of a link either have a
+rare shingle in common, and each rare shingle names at most CROWD documents; or all they have in
+common are common shingles, and then the rare kinds of each, as a share of its common kinds, are
+together at most 1 / SIMILARITY - 1: as what they share is at least SIMILARITY of all, and neither's
+rare kinds are the other's. The least such share of a text is bounded from below by its windows of
+LEAST to 2 * LEAST - 1 shingles, which any longer passage is made of. For the same reason the common
+kinds of each, divided by SIMILARITY, are at least its rare kinds and all kinds of the other.
+
+The argument about runs fails for passages in which shingles themselves repeat or parts of which
 stand in another order between the same four words; those are only found by the minima.
 
 Rows: one for each verified passage of a link (doc_id, other_doc_id, their word ranges,
@@ -66,6 +78,7 @@ CONTEXT = 6  # shingles on either side of a minimum
 RUN = 12  # shingles in a row that a linked pair has in common, at least (see above)
 GRAM = 4  # shingles of a sample of a run
 CERTAIN = 41  # equal shingles in a row that make a link
+CROWD = 16  # documents of a run, or of a shingle, that are all compared with each other
 SIMILARITY = 0.8
 PIECE = 1 << 20  # bytes of texts hashed together
 SPLIT = 32  # tasks that the copies of one text are dealt out to
@@ -176,6 +189,8 @@ def window_minima(values: np.ndarray, valid: np.ndarray, least: int = LEAST) ->
 
 
 AWAY = -1  # the round of a reply that names the rows set aside
+CROWDED = -2  # that names the documents of crowded runs
+COMMON = -3  # that names the common shingles
 
 
 class PassageShard(Shard):
@@ -185,8 +200,11 @@ class PassageShard(Shard):
         """Leave out the rows that are copies of another text."""
         keep = np.ones(len(self.ids), bool)
         keep[replies.get(AWAY, np.zeros(0, np.uint64)).byteswap().astype(np.int64)] = False
-        if keep.all():
-            return
+        if not keep.all():
+            self.only(keep)
+
+    def only(self, keep: np.ndarray) -> None:
+        """Leave out the other rows."""
         size = np.diff(self.ends)
         self.data = self.data[np.repeat(keep, size)]
         self.ends, self.ids = np.cumsum([0, *size[keep]]), self.ids[keep]
@@ -402,19 +420,160 @@ def _run_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(doc[member])], ["part", "doc"])
 
 
-def open_links(groups: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """(doc, other): all documents of a group that are not known to be of one class."""
+def open_links(groups: DataFrame, labels: DataFrame, tried: DataFrame, among) -> DataFrame:
+    """(doc, other): all documents of a group that are not known to be of one class; of the groups
+    of more than CROWD documents those pairs that among finds."""
     named = groups.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("part", "doc", F.coalesce("component", "doc").alias("class"))
     named = cut(named, "passage-named")
-    mixed = named.groupBy("part").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select(F.bitwise_not("part").alias("p"))
-    rows = named.withColumn("p", F.bitwise_not("part")).join(mixed, "p").select("p", "doc", "class")
+    mixed = named.groupBy("part").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"))
+    mixed = mixed.filter("lo < hi").select(F.bitwise_not("part").alias("p"), "n")
+    rows = named.withColumn("p", F.bitwise_not("part")).join(mixed, "p").select("p", "doc", "class", "n")
     rows = cut(rows, "passage-open")
-    pairs = rows.alias("a").join(rows.alias("b"), "p").filter("a.class < b.class")
-    pairs = pairs.select(F.greatest("a.doc", "b.doc").alias("doc"), F.least("a.doc", "b.doc").alias("other")).distinct()
+    few = rows.filter(F.col("n") <= CROWD)
+    pairs = few.alias("a").join(few.alias("b"), "p").filter("a.class < b.class")
+    pairs = pairs.select(F.greatest("a.doc", "b.doc").alias("doc"), F.least("a.doc", "b.doc").alias("other"))
+    pairs = pairs.union(among(rows.filter(F.col("n") > CROWD))).distinct()
     tried = tried.select(F.greatest("doc", "other").alias("doc"), F.least("doc", "other").alias("other")).distinct()
     return pairs.join(tried, ["doc", "other"], "left_anti")
 
 
+def crowd_links(rows: DataFrame, place: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """(doc, other): of rows (p, doc, class), the documents with a group in common that are not of
+    one class and may have similar passages (see above). place has the documents' shards."""
+    members = cut(rows.groupBy("doc").agg(F.first("class").alias("class"), F.collect_set("p").alias("parts")), "passage-crowd")
+    docs = F.transform(F.collect_set("doc"), lambda d: F.lpad(F.hex(d), 16, "0"))
+    known = members.join(place, "doc").groupBy("shard").agg(F.unhex(F.array_join(docs, "")).alias("h1"))
+    known = cut(known.select("shard", F.lit(CROWDED).alias("round"), "h1"), "passage-crowded")
+
+    def on_shards(work, schema: str) -> DataFrame:
+        return known.repartition(buckets, "shard").sortWithinPartitions("shard", "round").mapInArrow(by_shard(folder, work, PassageShard), schema)
+
+    sent = on_shards(_crowd_shingles(buckets), MESSAGE)
+    told = cut(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_crowd_pairs, f"{REPLY}, doc long, other long"), "passage-rare")
+    known = known.union(told.filter("h1 is not null").select("shard", "round", "h1"))
+    bounds = on_shards(_bounds, "doc long, share double, gain double, fewest long")
+    bounds = bounds.groupBy("doc").agg(F.min("share").alias("share"), F.max("gain").alias("gain"), F.min("fewest").alias("fewest"))
+
+    def side(name: str) -> DataFrame:
+        return members.select(*(F.col(c).alias(c if c == name else f"{name}_{c}") if c != "doc" else F.col(c).alias(name) for c in members.columns))
+
+    rare = told.filter("h1 is null").select("doc", "other").distinct().join(side("doc"), "doc").join(side("other"), "other")
+    rare = rare.filter("doc_class <> other_class").filter(F.arrays_overlap("doc_parts", "other_parts")).select("doc", "other")
+    full = cut(rows.select("p", "doc", "class").join(bounds, "doc"), "passage-common")
+    pairs = full.alias("a").join(full.alias("b"), "p").filter("a.class < b.class")
+    pairs = pairs.filter(F.col("a.share") + F.col("b.share") <= RARE).filter("a.gain >= b.fewest and b.gain >= a.fewest")
+    return rare.union(pairs.select(F.greatest("a.doc", "b.doc").alias("doc"), F.least("a.doc", "b.doc").alias("other")))
+
+
+RARE = 1 / SIMILARITY - 1 + 1e-9
+
+
+def _crowded(shard: PassageShard, replies) -> list[np.ndarray]:
+    """Leaves the shard's crowded documents, and gives their shingles."""
+    shard.only(np.isin(shard.ids, replies[CROWDED].byteswap().view(np.int64)))
+    return _shingles(shard.data, shard.ends)
+
+
+def _crowd_shingles(buckets: int):
+    """The shingles of the shard's crowded documents by bucket, with the documents."""
+
+    def work(shard: PassageShard, replies) -> Iterator[pa.RecordBatch]:
+        kinds = [np.unique(x) for x in _crowded(shard, replies)]
+        key, doc = np.concatenate(kinds), np.repeat(shard.ids, [len(x) for x in kinds])
+        if not len(key):
+            return
+        to = (key % _U(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        key, doc = key[order], doc[order]
+        used, start = np.unique(to[order], return_index=True)
+        ends = list(zip(start.tolist(), np.append(start[1:], len(key)).tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array([shard.name] * len(used)), *(pa.array([x[a:b].tobytes() for a, b in ends], pa.binary()) for x in (key, doc))],
+            ["bucket", "shard", "h1", "h2"])
+
+    return work
+
+
+def _crowd_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of MESSAGE by bucket: (doc, other) of the documents that have a rare shingle in common,
+    and to each shard its common ones."""
+    schema = pa.schema([("shard", pa.string()), ("round", pa.int32()), ("h1", pa.binary()), ("doc", pa.int64()), ("other", pa.int64())])
+    rows = (tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(b.num_rows))
+    for _, group in groupby(rows, key=lambda x: x[0]):
+        shards, keys, docs = zip(*((s, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)) for _, s, a, b in group))
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        key, doc = key[new], doc[new]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        common = key[first[size > CROWD]]
+        rare = np.repeat((size > 1) & (size <= CROWD), size)
+        key, doc = key[rare], doc[rare]
+        pairs = [np.zeros((0, 2), np.int64)]
+        for by in range(1, CROWD):
+            same = key[by:] == key[:-by]
+            pairs.append(np.unique(np.stack([doc[by:][same], doc[:-by][same]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        n = len(pairs)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.nulls(n, t) for t in schema.types[:3]), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+        told = [(s, x[found_in(x, common)].tobytes()) for s, x in zip(shards, keys)]
+        told = [x for x in told if x[1]]
+        n = len(told)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([s for s, _ in told], pa.string()), pa.array([COMMON] * n, pa.int32()), pa.array([x for _, x in told], pa.binary()),
+             pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+
+
+def rare_share(x: np.ndarray, common: np.ndarray, least: int = LEAST) -> float:
+    """A lower bound of the rare kinds of any window of `least` values or more, as a share of its
+    common kinds: the least of the windows shorter than 2 * least, which longer ones are made of.
+    A rare kind of the text counts as one in all, wherever its places are."""
+    if len(x) < least or not common.any():
+        return np.inf
+    _, kind, count = np.unique(x, return_inverse=True, return_counts=True)
+    rare = np.concatenate([[0], np.cumsum(np.where(common, 0, 1 / count[kind]))])
+    places = np.concatenate([[0], np.cumsum(common)])
+    widths = range(least, min(2 * least, len(x) + 1))
+    # no window has more common kinds than places of them
+    if not any((rare[w:] - rare[:-w] <= RARE * (places[w:] - places[:-w])).any() for w in widths):
+        return np.inf
+    before = _place_before(x)
+    out = np.inf
+    for w in widths:
+        kinds = sums_of_kinds(before, common.astype(np.int64), w)
+        some = kinds > 0
+        if some.any():
+            out = min(out, float(((rare[w:] - rare[:-w])[some] / kinds[some]).min()))
+    return max(out, 0.0)
+
+
+def gain(x: np.ndarray, common: np.ndarray, least: int = LEAST) -> float:
+    """An upper bound of the common kinds, divided by SIMILARITY, less the rare kinds of any window
+    of `least` values or more: no passage that all its shared kinds are common in is similar to
+    one of more kinds."""
+    _, kind, count = np.unique(x, return_inverse=True, return_counts=True)
+    so_far = np.concatenate([[0], np.cumsum(np.where(common, 1 / SIMILARITY, -1 / count[kind]))])
+    return float((so_far[least:] - np.minimum.accumulate(so_far[:-least])).max()) + 1e-6
+
+
+def _bounds(shard: PassageShard, replies) -> Iterator[pa.RecordBatch]:
+    """(doc, share, gain, fewest kinds of a window) of the shard's crowded documents that may have
+    passages of common shingles."""
+    if COMMON not in replies:
+        return
+    rows = []
+    xs = _crowded(shard, replies)
+    for doc, x in zip(shard.ids.tolist(), xs):
+        common = found_in(x, replies[COMMON])
+        if (share := rare_share(x, common)) <= RARE:
+            rows.append((doc, share, gain(x, common), fewest_kinds(x, LEAST)))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["doc", "share", "gain", "fewest"])
+
+
 def _keyed_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, keys, who) by bucket: (doc, other) of the shards' representatives of a key
     and the shortest of them."""
@@ -882,7 +1041,7 @@ def near_passages(docs: DataFrame) -> DataFrame:
     found = shared.filter("jaccard is not null").select(*_NAMES).union(verified)
     # copies have no windows, so their links cannot bring two groups' members together
     labels = connected_components(found.select(F.col("doc_id").alias("u"), F.col("other_doc_id").alias("v")))
-    late = verify(open_links(groups, labels, links))
+    late = verify(open_links(groups, labels, links, lambda rows: crowd_links(rows, place, folder, buckets)))
     remove(spark, folder)
     tidy(spark)
     found = found.union(late).union(whole)

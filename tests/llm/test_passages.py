@@ -122,3 +122,55 @@ def test_texts_of_repeated_lines_are_soon_compared():
     for _ in range(5):
         assert not list(p.spanning_passage(a, b, p.LEAST, 0.8, np.argsort(b, kind="stable")))
     assert time.process_time() - start < 3
+
+
+def test_a_phrase_of_many_texts_does_not_pair_them_all(spark, monkeypatch):
+    """80 texts quote a phrase of 30 words; of those, 10 pairs share an edited passage around it."""
+    r, phrase, texts = np.random.default_rng(8), made_up(30, 1), []
+    for i in range(80):
+        texts.append(made_up(60, 100 + i) + phrase + made_up(60, 300 + i))
+    for i in range(0, 20, 2):
+        passage = made_up(15, 500 + i) + phrase + made_up(15, 600 + i)
+        for k in (i, i + 1):
+            texts[k] = made_up(40, 700 + k) + passage + made_up(40, 800 + k)
+        texts[i][40 + int(r.integers(0, 10))] = "changed"
+    for i in (20, 30):  # a text of two crowds, whose shingles are common ones and rare ones
+        texts[i] = texts[i][:90] + made_up(40, 77) + texts[i][90:]
+    counts, real = [], p.open_links
+
+    def counted(*args):
+        out = real(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(p, "open_links", counted)
+    # minima link nothing, so more is left to the pairs
+    monkeypatch.setattr(p, "candidate_links", lambda windows: windows.select("doc", windows["doc"].alias("other")).limit(0))
+    found = linked(spark, [" ".join(t) for t in texts])
+    for i in range(0, 20, 2):
+        assert found[i] == found[i + 1] == i, i
+    assert found[20] == found[30] == 20 and len(found) == 22
+    assert counts[0] <= 200, counts
+
+
+def test_bounds_of_common_shingles_against_brute_force():
+    """Whatever windows are similar by common kinds alone are within the bounds of both texts."""
+    least, hits = 5, 0
+    for seed in range(400):
+        r = np.random.default_rng(seed)
+        base = r.integers(0, r.integers(6, 30), 16).astype(np.uint64)
+        sides = []
+        for side in (1, 2):
+            x = base[r.integers(0, 4): 16 - r.integers(0, 4)].copy()
+            edit = r.random(len(x)) < 0.15
+            x[edit] = (r.integers(0, 3, int(edit.sum())) + 1000 * side).astype(np.uint64)  # rare kinds of its own, repeated ones too
+            sides.append((x, x < 1000))
+        (a, common_a), (b, common_b) = sides
+        windows = [[(set(x[s:e].tolist())) for s in range(len(x)) for e in range(s + least, len(x) + 1)] for x, _ in sides]
+        if not any(len(u & v) >= 0.8 * len(u | v) for u in windows[0] for v in windows[1]):
+            continue
+        hits += 1
+        assert p.rare_share(a, common_a, least) + p.rare_share(b, common_b, least) <= p.RARE, seed
+        assert p.gain(a, common_a, least) >= p.fewest_kinds(b, least), seed
+        assert p.gain(b, common_b, least) >= p.fewest_kinds(a, least), seed
+    assert hits > 50
