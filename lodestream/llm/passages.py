@@ -659,7 +659,10 @@ def fewest_kinds(x: np.ndarray, width: int) -> int:
 
 def kinds_of(x: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, int]:
     """The distinct values, and the least number of them in a run of `least`."""
-    return np.unique(x), fewest_kinds(x, least) if len(x) >= least else 0
+    u = np.unique(x)
+    if len(x) < least or len(u) == len(x):
+        return u, least if len(x) >= least else 0
+    return u, fewest_kinds(x, least)
 
 
 def similar_passages(
@@ -671,6 +674,7 @@ def similar_passages(
     if len(a) < least or len(b) < least:
         return
     (in_a, fewest_a), (in_b, fewest_b) = kinds or (kinds_of(a, least), kinds_of(b, least))
+    plain = len(in_a) == len(a) and len(in_b) == len(b)
     if len(in_a) > len(in_b):
         in_a, in_b = in_b, in_a
     # no pair of passages has fewer kinds of shingles than its poorest windows
@@ -679,18 +683,39 @@ def similar_passages(
     if order is None:
         order = np.argsort(b, kind="stable")
     found = False
-    for got in dense_passages(a, b, least, similarity, order):
+    for got in dense_passages(a, b, least, similarity, order, plain):
         found = True
         yield got
     if found:
         return
-    for s, e, t, u, jaccard in dense_passages(b, a, least, similarity, np.argsort(a, kind="stable")):
+    order_a = np.argsort(a, kind="stable")
+    if plain and not (0 < _room(a, b, order, least, similarity) and 0 < _room(b, a, order_a, least, similarity)):
+        return
+    for s, e, t, u, jaccard in dense_passages(b, a, least, similarity, order_a, plain):
         found = True
         yield t, u, s, e, jaccard
     if not found:
         yield from spanning_passage(a, b, least, similarity, order)
 
 
+def _places(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """b in order, where in it each value of a is or would be, the same within bounds, and whether
+    it is there."""
+    ordered = b[order]
+    left = np.searchsorted(ordered, a)
+    at = np.where(left == len(b), 0, left)
+    return ordered, left, at, ordered[at] == a
+
+
+def _room(a: np.ndarray, b: np.ndarray, order: np.ndarray, least: int, similarity: float) -> float:
+    """Above 0 unless no window of a can be similar to one of b, where no value is repeated in
+    either: the values that a window has in common with b, divided by similarity, are at least
+    its others and the `least` of b's."""
+    common = _places(a, b, order)[3]
+    so_far = np.concatenate([[0], np.cumsum(np.where(common, 1 / similarity, -1))])
+    return float((so_far[least:] - np.minimum.accumulate(so_far[:-least])).max()) - least + 1e-6
+
+
 def equal_runs(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, start, length) of all runs of values that are the same in a and b and cannot be
     made longer. order sorts b."""
@@ -803,15 +828,13 @@ def spanning_passage(a: np.ndarray, b: np.ndarray, least: int, similarity: float
                 return
 
 
-def dense_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float, order: np.ndarray):
+def dense_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float, order: np.ndarray, plain: bool = False):
     """(start, end, start, end, jaccard) of passages of a around dense windows. A window of `least` shingles qualifies when enough of them
     occur in b; windows that overlap are one stretch. A stretch is matched along the diagonal
     that most of its shingles lie on; where that fails, each of its windows is compared with
-    every window of b, by products of their incidence matrices. order sorts b."""
-    ordered = b[order]
-    left = np.searchsorted(ordered, a)
-    at = np.where(left == len(b), 0, left)
-    common = ordered[at] == a
+    every window of b, by products of their incidence matrices. order sorts b; plain: no value is
+    repeated in a, nor in b."""
+    ordered, left, at, common = _places(a, b, order)
     need = int(np.ceil(least * 2 * similarity / (1 + similarity)))
     so_far = np.concatenate([[0], np.cumsum(common)])
     dense = so_far[least:] - so_far[:-least] >= need
@@ -824,7 +847,11 @@ def dense_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float,
     def alike(s: int, e: int, t: int, u: int):
         if e - s < least or u - t < least:
             return None
-        jaccard = _jaccard(a[s:e], b[t:u])
+        if plain:
+            both = int(np.count_nonzero(common[s:e] & (first[s:e] >= t) & (first[s:e] < u)))
+            jaccard = both / (e - s + u - t - both)
+        else:
+            jaccard = _jaccard(a[s:e], b[t:u])
         return (s, e, t, u, jaccard) if jaccard >= similarity else None
 
     def commonest(s: int, e: int):
@@ -860,9 +887,13 @@ def dense_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float,
     def exhaustive(s: int, e: int):
         if not late:
             late["id"], late["place"] = np.searchsorted(ordered, b), np.where(common, at, -1)
-            late["kinds_a"], late["firsts"] = _firsts(a, least).sum(axis=1), _firsts(b, least)
-            late["kinds_b"] = late["firsts"].sum(axis=1)
-            late["edge_a"], late["edge_b"] = _edges(a, least), _edges(b, least)
+            if plain:
+                late["kinds_a"], late["kinds_b"] = (np.full(len(x) - least + 1, least) for x in (a, b))
+                late["edge_a"], late["edge_b"] = (np.ones(len(x) - least + 1, bool) for x in (a, b))
+            else:
+                late["kinds_a"], late["firsts"] = _firsts(a, least).sum(axis=1), _firsts(b, least)
+                late["kinds_b"] = late["firsts"].sum(axis=1)
+                late["edge_a"], late["edge_b"] = _edges(a, least), _edges(b, least)
         covered = np.zeros(e - s, bool)
         todo = s + np.flatnonzero((dense & late["edge_a"])[s: e - least + 1])
         for lo in range(0, len(todo), CHUNK):
@@ -872,7 +903,11 @@ def dense_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float,
             column = np.full(len(b) + 1, len(ids))  # of the values that the chunk has, the last for all others
             column[ids] = np.arange(len(ids))
             col = column[late["id"]]
-            inside = (late["firsts"] & (windows(col, least) < len(ids))).sum(axis=1)
+            if plain:
+                hits = np.concatenate([[0], np.cumsum(col < len(ids))])
+                inside = hits[least:] - hits[:-least]
+            else:
+                inside = (late["firsts"] & (windows(col, least) < len(ids))).sum(axis=1)
             t = np.flatnonzero((inside >= similarity * late["kinds_b"]) & late["edge_b"])
             if not len(t):
                 continue
