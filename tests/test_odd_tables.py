@@ -37,3 +37,7 @@ def test_refresh_where_urls_repeat(spark, pages):
     crawl = spark.read.parquet(str(pages / "pages.parquet")).withColumnRenamed("page_id", "page_order")
     with pytest.raises(ValueError, match="already indexed"):
         refresh(index_pages(crawl), crawl)
+
+
+def test_terms_of_a_refresh_where_urls_repeat(spark, pages):
+    assert differing(spark, pages, "refreshed_terms") == [[], []]
