@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import content_hash, html_to_text, token_rows
+from lodestream.functions.text import content_hash, html_to_text
 from lodestream.sources.scratch import written
 
-from .indexing import SearchIndex, length_of, meta_of, postings_of, terms_of, with_ids
+from .indexing import SearchIndex, length_of, meta_of, postings_of_texts, terms_of, with_ids
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,6 @@ def refresh(index: SearchIndex, pages: DataFrame, order: str = "page_order", rep
     documents = index.documents.join(reused, "document_id", "left_semi").unionByName(
         parsed.select("document_id", "url", length_of(F.col("text")).alias("length"), "text", "content_hash"))
     postings = index.postings.join(reused, "document_id", "left_semi").unionByName(
-        postings_of(token_rows(parsed.select("document_id", "text"), ["document_id"])))
+        postings_of_texts(parsed.select("document_id", "text")))
     out = SearchIndex(documents, postings, terms_of(postings), meta_of(documents))
     return out, RefreshCounts(*(counts.get(k, 0) for k in ("reused", "reindexed", "new")))

@@ -1,8 +1,8 @@
 """The positional inverted index, held as ordinary tables.
 
 documents (document_id, url, length, text, content_hash), postings (term, document_id, tf,
-positions), terms (term, df), and two counts. Building shuffles the tokens once, by term and
-document.
+positions), terms (term, df), and two counts. Postings of texts are gathered a text at a time;
+they are shuffled, by term and document, only where several texts have one id.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import content_hash, html_to_text, token_rows, tokens
+from lodestream.functions.postings import text_postings
+from lodestream.functions.text import base_tokens, content_hash, html_to_text, token_rows
 from lodestream.sources.scratch import written
 
 DOCUMENTS = "document_id string, url string, length int, text string, content_hash string"
@@ -53,6 +54,22 @@ def postings_of(rows: DataFrame) -> DataFrame:
     return grouped.select("term", "document_id", F.size("positions").cast("int").alias("tf"), F.col("positions"))
 
 
+def repeated_ids(documents: DataFrame) -> bool:
+    return bool(documents.groupBy("document_id").count().filter("count > 1").head(1))
+
+
+def merged(postings: DataFrame) -> DataFrame:
+    """One row a term and document."""
+    grouped = postings.groupBy("term", "document_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return grouped.select("term", "document_id", F.size("positions").cast("int").alias("tf"), F.col("positions"))
+
+
+def postings_of_texts(docs: DataFrame) -> DataFrame:
+    """docs(document_id, text) to postings; the texts of one id are one document's."""
+    rows = text_postings(docs)
+    return merged(rows) if repeated_ids(docs) else rows
+
+
 def terms_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -67,7 +84,8 @@ def totals_of(documents: DataFrame) -> DataFrame:
 
 def length_of(text: Column) -> Column:
     """Tokens of a text, parts of hyphenated ones included."""
-    return F.size(tokens(text)).cast("int")
+    parts = lambda t: F.when(F.contains(t, F.lit("-")), F.size(F.split(t, "-"))).otherwise(0)
+    return F.aggregate(base_tokens(text), F.lit(0), lambda n, t: n + 1 + parts(t))
 
 
 def check_unique(documents: DataFrame) -> None:
@@ -84,7 +102,7 @@ def index_texts(docs: DataFrame, only: Sequence[str] | None = None, validate: bo
     documents = docs.select("document_id", "url", length_of(text).alias("length"), text.alias("text"), hashed.alias("content_hash"))
     if validate:
         check_unique(documents)
-    postings = postings_of(token_rows(docs.select("document_id", "text"), ["document_id"], only=only))
+    postings = postings_of_texts(docs) if only is None else postings_of(token_rows(docs.select("document_id", "text"), ["document_id"], only=only))
     return SearchIndex(documents, postings, terms_of(postings), meta_of(documents))
 
 
@@ -128,8 +146,12 @@ def rebuild(index: SearchIndex) -> SearchIndex:
     """The index anew: from stored texts, or from postings for documents without one."""
     texts = index.documents.filter(F.col("text") != "")
     bare = index.documents.filter(F.col("text") == "")
-    rows = token_rows(texts.select("document_id", "text"), ["document_id"]).select("document_id", "term", "pos")
-    kept = index.postings.join(bare.select("document_id"), "document_id", "left_semi").select("document_id", "term", F.explode("positions").alias("pos"))
-    postings = postings_of(rows.unionByName(kept))
+    held = index.postings.filter(F.size("positions") > 0)
+    held = held.select("term", "document_id", F.size("positions").cast("int").alias("tf"), F.sort_array("positions").alias("positions"))
+    # only the ids are hashed, and the postings not sorted
+    kept = held.join(bare.select("document_id").hint("shuffle_hash"), "document_id", "left_semi")
+    postings = text_postings(texts).unionByName(kept)
+    if repeated_ids(index.documents):
+        postings = merged(postings)
     documents = texts.withColumn("length", length_of(F.col("text"))).unionByName(bare)
     return SearchIndex(documents, postings, terms_of(postings), meta_of(documents))
