@@ -2,14 +2,16 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lodestream.functions import postings
 from lodestream.functions.text import TOKEN_PATTERN
 from lodestream.operators.indexing import index_texts, postings_of_texts, rebuild
+from lodestream.sources import parquet_index
 from test_odd_tables import differing
 
 DOCUMENTS = "doc_id bigint, text string"
@@ -24,17 +26,27 @@ def expected(text):
     return dict(out)
 
 
-def test_places_of_random_texts(monkeypatch):
-    monkeypatch.setattr(postings, "CHUNK", 50)
+def test_places_of_random_texts():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab1'- é\n") for _ in range(rng.randrange(90))) for _ in range(400)]
     batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(400)]), pa.array([t.encode() for t in texts], pa.binary())], ["document_id", "text"])
     got = defaultdict(dict)
-    for b in postings._postings([batch]):
+    for b in postings.chunks([batch], postings.gathered, 50):
         for r in b.to_pylist():
             assert r["tf"] == len(r["positions"]) and r["term"] not in got[int(r["document_id"])]
             got[int(r["document_id"])][r["term"]] = r["positions"]
-    assert [got[i] for i in range(400)] == [expected(t) for t in texts]
+    want = [expected(t) for t in texts]
+    assert [got[i] for i in range(400)] == want
+    got, df, cf = defaultdict(dict), Counter(), Counter()
+    for b in postings.chunks([batch], postings.blocked, 50):
+        for r in b.to_pylist():
+            got[r["term"]].update(zip(r["documents"], r["positions"], strict=True))
+    assert got == {t: {str(i): w[t] for i, w in enumerate(want) if t in w} for t in {t for w in want for t in w}}
+    for b in postings.chunks([batch], postings.counted, 50):
+        for r in b.to_pylist():
+            df[r["term"]] += r["df"]
+            cf[r["term"]] += r["cf"]
+    assert df == {t: len(p) for t, p in got.items()} and cf == {t: sum(map(len, p.values())) for t, p in got.items()}
 
 
 def stages(plan):
@@ -76,3 +88,17 @@ def test_rebuild_keeps_postings_without_grouping_positions(spark):
     again = rebuild(type(full)(bare, full.postings, full.terms, full.meta))
     assert sorted(map(tuple, again.postings.collect())) == sorted(map(tuple, full.postings.collect()))
     assert "Generate" not in again.postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_is_stored_without_a_row_a_posting_shuffled(spark, tmp_path):
+    """Sorted by term in each file, of which a term has few."""
+    texts = [(str(i), f"u{i}", f"the w{i} w{i % 7} it's well-known") for i in range(300)]
+    docs = spark.createDataFrame(texts, "document_id string, url string, text string")
+    for name, rows in (("once", docs), ("twice", docs.withColumn("document_id", F.concat(F.lit("d"), F.col("document_id").cast("int") % 100)))):
+        index = parquet_index.load(spark, parquet_index.build(rows, str(tmp_path / name)))
+        full = index_texts(rows)
+        for table in ("documents", "postings", "terms", "meta"):
+            assert sorted(map(tuple, getattr(index, table).collect())) == sorted(map(tuple, getattr(full, table).collect())), table
+    for file in (tmp_path / "once/postings").glob("*.parquet"):
+        terms = pq.read_table(file)["term"].to_pylist()
+        assert terms == sorted(terms)
