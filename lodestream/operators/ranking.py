@@ -38,7 +38,7 @@ def bm25(hits: Column, n: Column, length: Column, average: Column, k1: float = K
 def least_distance(left: Column, right: Column) -> Column:
     """Smallest distance between two ascending position lists, null if one is empty. One merge
     over both lists sorted together: neighbours of different sides hold the minimum."""
-    both = F.array_sort(F.concat(
+    both = F.sort_array(F.concat(
         F.transform(left, lambda p: F.struct(p.alias("p"), F.lit(0).alias("s"))),
         F.transform(right, lambda p: F.struct(p.alias("p"), F.lit(1).alias("s")))))
     start = F.struct(F.lit(None).cast("int").alias("l"), F.lit(None).cast("int").alias("r"), F.lit(None).cast("int").alias("best"))
