@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions.postings import text_postings
+from lodestream.functions.postings import text_counts, text_postings
 from lodestream.functions.text import base_tokens, content_hash, html_to_text, token_rows
 from lodestream.sources.scratch import written
 
@@ -151,7 +151,10 @@ def rebuild(index: SearchIndex) -> SearchIndex:
     # only the ids are hashed, and the postings not sorted
     kept = held.join(bare.select("document_id").hint("shuffle_hash"), "document_id", "left_semi")
     postings = text_postings(texts).unionByName(kept)
+    # counted without positions, and those of texts before anything leaves Python
+    terms = text_counts(texts).select("term", "df").unionByName(terms_of(kept)).groupBy("term").agg(F.sum("df").alias("df"))
     if repeated_ids(index.documents):
         postings = merged(postings)
+        terms = terms_of(postings)
     documents = texts.withColumn("length", length_of(F.col("text"))).unionByName(bare)
-    return SearchIndex(documents, postings, terms_of(postings), meta_of(documents))
+    return SearchIndex(documents, postings, terms, meta_of(documents))

@@ -102,3 +102,14 @@ def test_index_is_stored_without_a_row_a_posting_shuffled(spark, tmp_path):
     for file in (tmp_path / "once/postings").glob("*.parquet"):
         terms = pq.read_table(file)["term"].to_pylist()
         assert terms == sorted(terms)
+
+
+def test_rebuilt_terms_leave_python_counted(spark):
+    """Neither a row a token nor a row a posting of the texts; and the same where an id repeats."""
+    full = index_texts(spark.createDataFrame([("a", "u", "one two-three two"), ("b", "v", "two four")], "document_id string, url string, text string"))
+    again = rebuild(full)
+    assert sorted(map(tuple, again.terms.collect())) == [("four", 1), ("one", 1), ("three", 1), ("two", 2), ("two-three", 1)]
+    assert "cf" in again.terms._jdf.queryExecution().analyzed().toString()
+    twice = full.documents.unionByName(full.documents.withColumn("text", F.lit("")))
+    again = rebuild(type(full)(twice, full.postings, full.terms, full.meta))
+    assert sorted(map(tuple, again.terms.collect())) == [("four", 1), ("one", 1), ("three", 1), ("two", 2), ("two-three", 1)]
